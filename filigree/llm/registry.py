@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from filigree.llm.packing import op3_packing
+from filigree.llm.quality_classifier import op5_quality_classifier
 from filigree.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_packing": op3_packing,
+    "op5_quality_classifier": op5_quality_classifier,
 }
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
