@@ -94,3 +94,30 @@ def build(keys: DataFrame, n: int, max_bytes: int = 32 << 20, bits_per_key: int
             at = row.seg * SEGMENT_BITS // 8
             bits[at : at + SEGMENT_BITS // 8] |= np.frombuffer(row.bits, np.uint8)
     return Bloom(bits, segments, probes)
+
+
+def exclude(rows: DataFrame, ids: DataFrame, name: str, max_bytes: int = 32 << 20) -> DataFrame:
+    """Rows, all columns, whose `name` is not among the bigint column of `ids` (null: stays).
+
+    Rows that the filter rules out pass where they are read; only the others are shuffled
+    for the exact anti join.
+    """
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(build(ids, ids.count(), max_bytes))
+    at = rows.columns.index(name)
+
+    def side(inside: bool):
+        def run(batches):
+            for batch in batches:
+                column = batch.column(at).cast(pa.int64())
+                has = shared.value.has(column.fill_null(0).to_numpy().view(np.uint64))
+                has &= ~column.is_null().to_numpy(zero_copy_only=False)
+                part = batch.filter(pa.array(has if inside else ~has))
+                if part.num_rows:
+                    yield part
+
+        return run
+
+    maybe = rows.mapInArrow(side(True), rows.schema)
+    key = ids.columns[0]
+    return rows.mapInArrow(side(False), rows.schema).unionByName(maybe.join(ids.hint("shuffle_merge"), maybe[name] == ids[key], "left_anti"))
