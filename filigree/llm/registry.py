@@ -5,6 +5,7 @@ from __future__ import annotations
 from filigree.llm.near_dedup import OP9_SQL, op9_minhash_near_dedup
 from filigree.llm.packing import op3_packing
 from filigree.llm.quality_classifier import op5_quality_classifier
+from filigree.llm.quality_rules import OP10_SQL, op10_quality_rules
 from filigree.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 
 QUERIES = {
@@ -12,8 +13,10 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
+    "op10_quality_rules": OP10_SQL,
 }
