@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from filigree.llm.decontamination import op8_benchmark_decontamination
 from filigree.llm.lm_scoring import op7_lm_scoring
 from filigree.llm.near_dedup import OP9_SQL, op9_minhash_near_dedup
 from filigree.llm.packing import op3_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_url_filter": op6_url_filter,
     "op7_lm_scoring": op7_lm_scoring,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -19,6 +19,8 @@ U = np.uint64
 CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For tokens: every ASCII character that is no letter or digit separates.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _RNG = np.random.default_rng(20_240_607)
 BYTES = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BYTES_LOWER = BYTES.copy()
@@ -82,7 +84,8 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of each row: byte bounds, hashes, and row offsets into them."""
 
-    def __init__(self, texts: pa.Array, lower: bool = False) -> None:
+    def __init__(self, texts: pa.Array, lower: bool = False, space: np.ndarray = SPACE) -> None:
+        self.space = space
         self.data, self.bytes_at = raw(texts)
         table = BYTES_LOWER if lower else BYTES
         starts, ends, hashes = [], [], []
@@ -105,11 +108,11 @@ class Words:
 
     def _cut(self, at: int, to: int) -> int:
         """A place in or after [at, to) where no word goes across."""
-        back = np.flatnonzero(SPACE[self.data[at:to]])
+        back = np.flatnonzero(self.space[self.data[at:to]])
         if len(back):
             return at + int(back[-1]) + 1
         while to < len(self.data):
-            ahead = np.flatnonzero(SPACE[self.data[to : to + CHUNK]])
+            ahead = np.flatnonzero(self.space[self.data[to : to + CHUNK]])
             if len(ahead):
                 return to + int(ahead[0]) + 1
             to += CHUNK
@@ -117,7 +120,7 @@ class Words:
 
     def _chunk(self, at: int, to: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         b = self.data[at:to]
-        full = ~SPACE[b]
+        full = ~self.space[b]
         bound = np.zeros(len(b) + 1, bool)
         rows = self.bytes_at[np.searchsorted(self.bytes_at, at) : np.searchsorted(self.bytes_at, to, "right")]
         bound[rows - at] = True
