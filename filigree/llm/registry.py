@@ -10,10 +10,12 @@ from filigree.llm.quality_classifier import op5_quality_classifier
 from filigree.llm.quality_rules import OP10_SQL, op10_quality_rules
 from filigree.llm.secret_scan import OP4_SQL, op4_secret_scan
 from filigree.llm.substring_dedup import OP1_SQL, op1_substring_dedup
+from filigree.llm.toxicity import op2_toxicity
 from filigree.llm.url_filter import OP6_SQL, op6_url_filter
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_quality_classifier": op5_quality_classifier,
