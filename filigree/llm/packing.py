@@ -13,8 +13,9 @@ times 2**33 plus a number in it. Memory: one slice of text, the open windows and
 cache of word ids.
 
 Tokenising: the tokenizer's own splitting never crosses ASCII white space, so ids are made
-for white-space separated words and kept in a cache of at most ``CACHE`` words; words not
-there are encoded by the tokenizer itself.
+for white-space separated words and kept in a cache of at most ``CACHE`` words. New words
+of plain letters, digits and signs are split into the tokenizer's pretokens, of which there
+are fewer; the tokenizer encodes new pretokens, and all other words as they are.
 
 Edge cases: null or empty text is a document of the closing id alone; a null id stays null;
 equal rows are packed apart. Columns other than id and text are not read.
@@ -23,6 +24,7 @@ equal rows are packed apart. Columns other than id and text are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -35,12 +37,42 @@ from pyspark.sql import functions as F
 from filigree.llm.words import ramps, raw, slices
 from filigree.session import ship_package, table
 
-CACHE = 300_000
+CACHE = 600_000
 _END = b"\n"
+#: Words of these bytes only are split into pretokens here: ASCII but the apostrophe and
+#: the special tokens' bars, and letters of Latin-1 and Latin Extended-A without a mark of
+#: their own (U+0130 is left out: its lower case is two characters).
+_PLAIN = re.compile(rb"(?:[!-&(-{}~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+").fullmatch
+_PIECES = re.compile(r"[a-z\u00df-\u017f]+|[0-9]|[^a-z0-9\u00df-\u017f]+").findall
+
+
+class _Rows:
+    """Growing rows of ids, by number."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.at, self.size, self.rows = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Rows of `sizes` ids each, one after the other in `ids`."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.rows + len(sizes) > len(self.at):
+            self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.at[self.rows : self.rows + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.rows : self.rows + len(sizes)] = sizes
+        self.used += len(ids)
+        self.rows += len(sizes)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows, one after the other, and their sizes."""
+        size = self.size[rows]
+        return self.flat[np.repeat(self.at[rows], size) + ramps(size)], size
 
 
 class WordIds:
-    """Token ids of texts by way of a bounded cache of words."""
+    """Token ids of texts by way of bounded caches of words and of pretokens."""
 
     def __init__(self, tokenizer_json: str, closing: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,29 +80,53 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.closing = closing
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._reset()
+        self._reset_pieces()
 
     def _reset(self) -> None:
         self.number: dict[bytes, int] = {_END: 0}
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 1
-        self.flat[0] = self.closing
-        self.at, self.size = np.zeros(CACHE * 2 + 2, np.int64), np.zeros(CACHE * 2 + 2, np.int64)
-        self.size[0] = 1
+        self.rows = _Rows()
+        self.rows.add(np.array([self.closing], np.uint32), np.array([1]))
+
+    def _reset_pieces(self) -> None:
+        self.piece: dict[str, int] = {}
+        self.pieces = _Rows()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Many pretokens are encoded as one text; each ends with a token of its own kind."""
+        for start in range(0, len(pieces), 2000):
+            part = pieces[start : start + 2000]
+            ids = self._ids(" ".join(part))
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(part) and last[-1] == len(ids) - 1:
+                self.pieces.add(ids, np.diff(np.r_[-1, last]))
+            else:
+                for one in part:
+                    own = self._ids(one)
+                    self.pieces.add(own, np.array([len(own)]))
+        self.piece.update(zip(pieces, range(len(self.piece), len(self.piece) + len(pieces))))
 
     def _learn(self, words: list[bytes]) -> None:
-        for start in range(0, len(words), 20_000):
-            part = words[start : start + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                ids = found.ids
-                k = len(self.number)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                if k >= len(self.at):
-                    self.at, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.at, self.size))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.at[k], self.size[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.number[word] = k
+        plain = [w for w in words if _PLAIN(w) and b"<|" not in w]
+        split = [_PIECES(w.decode().lower()) for w in plain]
+        if len(self.piece) > CACHE:
+            self._reset_pieces()
+        self._learn_pieces(list({p for own in split for p in own}.difference(self.piece)))
+        ids, size = self.pieces.take(np.fromiter((self.piece[p] for own in split for p in own), np.int64))
+        count = np.fromiter(map(len, split), np.int64, len(split))
+        first = np.cumsum(count) - count
+        self.rows.add(ids, np.add.reduceat(size, first) if len(first) else size)
+        self.number.update(zip(plain, range(len(self.number), len(self.number) + len(plain))))
+        for w in set(words).difference(plain):
+            own = self._ids(w.decode())
+            self.rows.add(own, np.array([len(own)]))
+            self.number[w] = len(self.number)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text, with the closing id."""
@@ -84,13 +140,24 @@ class WordIds:
         if len(self.number) + len(new) > CACHE and len(self.number) > 1:
             self._reset()
             new = set(words).difference(self.number)
-        self._learn(sorted(new))
-        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size = self.size[k]
-        ids = self.flat[np.repeat(self.at[k], size) + ramps(size)]
+        if new:
+            self._learn(list(new))
+        ids, size = self.rows.take(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
         return np.split(ids, np.cumsum(size)[np.array(ends[:-1]) - 1]) if len(texts) > 1 else [ids]
 
 
+_KEPT: dict[tuple[int, int], WordIds] = {}
+
+
+def _word_ids(tokenizer_json: str, closing: int) -> WordIds:
+    """The worker's own caches, which outlive a task."""
+    key = (hash(tokenizer_json), closing)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = WordIds(tokenizer_json, closing)
+    return _KEPT[key]
+
+
 class Packer:
     """Sum-of-squares placement; pieces are (document, start, ids, tokens of the document)."""
 
@@ -186,7 +253,7 @@ def pack(docs: DataFrame, tokenizer_json: str, length: int = 4096, closing: int
     shared = spark.sparkContext.broadcast(tokenizer_json)  # one file of a fixed vocabulary
 
     def run(batches):
-        words = WordIds(shared.value, closing)
+        words = _word_ids(shared.value, closing)
         packer = Packer(length)
         base, number = TaskContext.get().partitionId() << 33, 0
         rows: list[list] = [[] for _ in range(8)]
