@@ -1,4 +1,6 @@
 """The library's queries over the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from filigree.plans import ranking_queries, text_queries
+
+QUERIES: dict = ranking_queries.QUERIES | text_queries.QUERIES
+ORACLES: dict[str, str] = ranking_queries.ORACLES | text_queries.ORACLES
