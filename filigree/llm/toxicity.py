@@ -110,7 +110,7 @@ class Lexicon:
             for c, child in node.items():
                 if isinstance(c, tuple):
                     distance = automaton.distance(state)
-                    if c[1] == "word" and distance is not None and len(child[0]) >= FUZZY_FROM and child[0] not in self.exact and (found is None or child[1] > found[1]):
+                    if c[1] == "word" and distance is not None and len(child[0]) >= FUZZY_FROM and child[0] not in self.exact and (found is None or child[1] * FUZZY_WEIGHT > found[1]):
                         found = (child[0], child[1] * FUZZY_WEIGHT, distance)
                     continue
                 following = automaton.step(state, c)
