@@ -18,6 +18,8 @@ NAME = "AAPL_10K_2022Q3_2022-10-28_full.txt"
 
 @pytest.fixture
 def landing(tmp_path):
+    tmp_path = tmp_path / "landing"
+    tmp_path.mkdir()
     (tmp_path / NAME).write_text(annual(), encoding="utf-8")
     (tmp_path / "TSLA_10K_2022-10-28_full.txt").write_bytes(b"\xff\xfe bad")
     (tmp_path / "notes.txt").write_text("x")
