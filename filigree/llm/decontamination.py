@@ -6,11 +6,13 @@ whole in some passage. An item's score for a passage is the BM25 sum of the dist
 they share, over the item's sum for all its own terms: 1 if all are there. Retrieved is
 every item with a score of ``threshold`` or more, exactly:
 
-1. WAND: terms are numbered by their largest impact. In each passage the terms of least
-   impact that together stay below the threshold cannot lift an item by themselves; only
-   postings of the other, essential terms give candidates.
-2. Block-max: items stand in blocks of BLOCK; a candidate stays if the sum of its terms'
-   largest impacts within its block reaches the threshold.
+1. Block-max: items stand in blocks of BLOCK, by size, so that their impacts are alike; a
+   block's bound for a passage is the sum of its terms' largest impacts within the block.
+   With few blocks, all bounds of a passage are summed at once and only items of blocks that
+   reach the threshold are candidates.
+2. WAND: with many blocks candidates come from postings. Terms are numbered by their largest
+   impact; those of least impact that together stay below the threshold cannot lift an item
+   by themselves, so only postings of the other terms are read, and block bounds follow.
 3. Candidates that stay are scored exactly.
 
 Steps run on all passages of a slice of texts at once. Retrieved items are verified: the
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.words import PUNCTUATION, Words, ramps, slices, windows
+from filigree.llm.words import PUNCTUATION, U, Words, ramps, slices, windows
 from filigree.session import ship_package, table
 
 K1, B = 1.2, 0.75
@@ -44,6 +46,7 @@ BLOCK = 8
 GRAM = 3
 LONGEST = 256
 MIN_TOKENS = 5
+DENSE = 4_000_000
 _SENTENCE = re.compile(r"[.?!\n]+\s*(?=\S)")
 
 
@@ -73,6 +76,8 @@ class ItemIndex:
                 cut_at = min(max(len(head) - start, 0), len(own))
                 self.question.append(_grams(own[:cut_at]))
                 self.answer.append(_grams(own[cut_at:]))
+        by_size = sorted(range(len(parts)), key=lambda k: len(parts[k]))  # blocks of like impacts
+        self.item, parts, self.question, self.answer = ([x[k] for k in by_size] for x in (self.item, parts, self.question, self.answer))
         self.size = np.array([len(p) for p in parts], np.int64)
         n = len(parts)
         own = [np.unique(p, return_counts=True) for p in parts]
@@ -100,23 +105,49 @@ class ItemIndex:
         self.block_most = np.zeros(len(self.block_key))
         np.maximum.at(self.block_most, at, self.impact)
         self.width = int(self.size.max()) if n else 1
-
-    def _lookup(self, keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        # Two bytes of a token's hash tell most words that no item holds.
+        self.seen = np.zeros(1 << 16, bool)
+        self.seen[(vocabulary >> U(48)).astype(np.int64)] = True
+        self.tables = [self._dense(self.block_key, self.block_most, self.blocks), self._dense(self.key, self.impact, n)]
+        self.few_blocks = self.blocks <= 64 and self.tables[0] is not None
+
+    def _dense(self, keys: np.ndarray, values: np.ndarray, width: int) -> np.ndarray | None:
+        """A direct table of small maps."""
+        if not len(keys) or len(self.vocabulary) * width > DENSE * (1 + 3 * (width <= 64)):
+            return None
+        out = np.zeros(len(self.vocabulary) * width)
+        out[keys] = values
+        return out
+
+    def terms(self, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens that some item holds, and their numbers."""
+        place = np.flatnonzero(self.seen[(token >> U(48)).astype(np.int64)])
+        at = np.searchsorted(self.vocabulary, token[place])
+        at[at == len(self.vocabulary)] = 0
+        known = self.vocabulary[at] == token[place] if len(self.vocabulary) else np.zeros(0, bool)
+        return place[known], self.rank[at[known]] if len(self.vocabulary) else place[known]
+
+    def _lookup(self, exact: bool, wanted: np.ndarray) -> np.ndarray:
+        table = self.tables[exact]
+        if table is not None:
+            return table[wanted]
+        keys, values = (self.key, self.impact) if exact else (self.block_key, self.block_most)
         at = np.searchsorted(keys, wanted)
         at[at == len(keys)] = 0
         return np.where(keys[at] == wanted, values[at], 0.0)
 
-    def search(self, passage: np.ndarray, token: np.ndarray, n_passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item part, score) of every pair with a score of at least the threshold."""
+    def search(self, passage: np.ndarray, term: np.ndarray, n_passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item part, score) of every pair with a score of at least the threshold.
+
+        passage and term: the numbers of known terms in each passage; they may repeat.
+        """
         none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-        if not len(self.vocabulary):
-            return none
         limit = self.threshold - 1e-9
-        at = np.searchsorted(self.vocabulary, token)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == token
-        both = np.unique(passage[known] * len(self.vocabulary) + self.rank[at[known]])
-        p, t = both // len(self.vocabulary), both % len(self.vocabulary)
+        loose = np.bincount(passage, self.most[term], n_passages) if len(term) else np.zeros(n_passages)
+        alive = loose[passage] >= limit
+        both = np.sort(passage[alive] * len(self.vocabulary) + term[alive])
+        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+        p, t = both // max(len(self.vocabulary), 1), both % max(len(self.vocabulary), 1)
         if not len(p):
             return none
         bound = np.bincount(p, self.most[t], n_passages)
@@ -125,12 +156,7 @@ class ItemIndex:
         if not len(p):
             return none
         start = np.searchsorted(p, np.arange(n_passages + 1))
-        total = np.cumsum(self.most[t])
-        upto = total - np.r_[0.0, total][start[p]]
-        e = np.flatnonzero(upto >= limit)
-        count = self.posting_at[t[e] + 1] - self.posting_at[t[e]]
-        item = self.posting_item[np.repeat(self.posting_at[t[e]], count) + ramps(count)]
-        pair = np.unique(np.repeat(p[e], count) * self.n + item)
+        pair = self._by_blocks(p, t, start, limit) if self.few_blocks else self._by_essential_terms(p, t, start, limit)
         cp, ci = pair // self.n, pair % self.n
         ok, score = [np.empty(0, bool)], [np.empty(0)]
         for a in range(0, len(cp), 20_000):  # a bounded number of (candidate, term) pairs at a time
@@ -138,14 +164,38 @@ class ItemIndex:
             n = start[own + 1] - start[own]
             who = np.repeat(np.arange(len(own)), n)
             terms = t[np.repeat(start[own], n) + ramps(n)]
-            upper = np.bincount(who, self._lookup(self.block_key, self.block_most, terms * self.blocks + items[who] // BLOCK), len(own))
+            upper = np.bincount(who, self._lookup(False, terms * self.blocks + items[who] // BLOCK), len(own))
             stay = upper[who] >= limit
-            exact = np.bincount(who[stay], self._lookup(self.key, self.impact, terms[stay] * self.n + items[who[stay]]), len(own))
+            exact = np.bincount(who[stay], self._lookup(True, terms[stay] * self.n + items[who[stay]]), len(own))
             ok.append(exact >= limit)
             score.append(exact)
         ok, score = np.concatenate(ok), np.concatenate(score)
         return cp[ok], ci[ok], score[ok]
 
+    def _by_essential_terms(self, p: np.ndarray, t: np.ndarray, start: np.ndarray, limit: float) -> np.ndarray:
+        """Candidates from the postings of terms that the weakest terms together cannot replace."""
+        total = np.cumsum(self.most[t])
+        upto = total - np.r_[0.0, total][start[p]]
+        e = np.flatnonzero(upto >= limit)
+        count = self.posting_at[t[e] + 1] - self.posting_at[t[e]]
+        item = self.posting_item[np.repeat(self.posting_at[t[e]], count) + ramps(count)]
+        return np.unique(np.repeat(p[e], count) * self.n + item)
+
+    def _by_blocks(self, p: np.ndarray, t: np.ndarray, start: np.ndarray, limit: float) -> np.ndarray:
+        """Candidates of an index of few blocks: all block bounds of a passage at once."""
+        table = self.tables[0].reshape(-1, self.blocks)
+        full = np.flatnonzero(np.diff(start))
+        out = [np.empty(0, np.int64)]
+        for a in range(0, len(full), 2000):
+            own = full[a : a + 2000]
+            first, last = start[own[0]], start[own[-1] + 1]
+            upper = np.add.reduceat(table[t[first:last]], start[own] - first, axis=0)
+            k, block = np.nonzero(upper >= limit)
+            item = block[:, None] * BLOCK + np.arange(BLOCK)
+            pairs = own[k][:, None] * self.n + item
+            out.append(pairs[item < self.n])
+        return np.concatenate(out)
+
     def verify(self, part: int, tokens: np.ndarray) -> tuple[float, float]:
         """Shares of the part's question and answer grams that stand in a run of tokens."""
         found = {}
@@ -169,11 +219,12 @@ def judge(index: ItemIndex, texts: pa.Array, question: float, answer: float) ->
     row = np.repeat(np.arange(len(n)), n)
     first = words.at[row] + ramps(n) * stride
     last = np.minimum(first + 2 * stride, words.at[row + 1])
-    size = last - first
-    passage = np.repeat(np.arange(len(row)), size)
-    token = words.hashes[np.repeat(first, size) + ramps(size)]
+    place, term = index.terms(words.hashes)
+    low, high = np.searchsorted(place, first), np.searchsorted(place, last)
+    passage = np.repeat(np.arange(len(row)), high - low)
+    term = term[np.repeat(low, high - low) + ramps(high - low)]
     out: dict[tuple[int, int], tuple[float, float, float]] = {}
-    for p, part, score in zip(*index.search(passage, token, len(row))):
+    for p, part, score in zip(*index.search(passage, term, len(row))):
         shares = index.verify(int(part), words.hashes[first[p] : last[p]])
         small = index.size[part] < MIN_TOKENS
         if shares[0] >= (1.0 if small else question) and shares[1] >= (1.0 if small else answer):
