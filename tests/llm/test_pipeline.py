@@ -4,7 +4,7 @@ import os
 import random
 
 import pytest
-from conftest import edge_rows, prose
+from edge_cases import edge_rows, prose
 
 
 @pytest.fixture(scope="module")
