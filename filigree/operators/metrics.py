@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from filigree import fixed
 from filigree.functions import predicates as P
 from filigree.functions import questions as Q
+from filigree.operators.search import sized
 
 _KEY = ("case_id", "mode")
 
@@ -18,7 +19,7 @@ def relevance(results: DataFrame, cases: DataFrame) -> DataFrame:
     cases: case_id, question, companies, years, forms, sections, expected_chunk_ids. Given ids
     decide alone; else every given condition must hold.
     """
-    df = results.join(F.broadcast(cases) if cases.limit(10_001).count() <= 10_000 else cases, "case_id")
+    df = results.join(sized(cases), "case_id")
     none = F.array().cast("array<string>")
     ids = F.coalesce("expected_chunk_ids", none)
     sections = F.coalesce("sections", none)

@@ -16,7 +16,7 @@ from filigree.functions import predicates as P
 from filigree.functions import questions as Q
 from filigree.operators import answers as A
 from filigree.operators import selection as S
-from filigree.operators.search import Bm25Index, bm25_search, embed, interleave, reciprocal_rank_fusion, rerank, top_k, vector_search
+from filigree.operators.search import Bm25Index, bm25_search, embed, interleave, reciprocal_rank_fusion, rerank, sized, top_k, vector_search
 from filigree.session import shared_table, ship_package
 
 BODY = "query_id string, executive_summary string, comparison string, supporting_evidence string, citations array<string>, confidence string, limitations string, input_tokens int, output_tokens int"
@@ -39,7 +39,7 @@ def allowed_chunks(asked: DataFrame, chunks: DataFrame) -> DataFrame:
     meta = chunks.select("chunk_id", "ticker", "year", "quarter", "form", "fiscal_period")
     cols = asked.select("query_id", "tickers", F.col("years").alias("q_years"), F.col("quarters").alias("q_quarters"), F.col("forms").alias("q_forms"), F.col("fiscal_periods").alias("q_periods"))
     test = Q.hard_filter(F.col("tickers"), F.col("q_years"), F.col("q_quarters"), F.col("q_forms"), F.col("q_periods"))
-    return meta.join(F.broadcast(cols), test).select("query_id", "chunk_id")
+    return meta.join(sized(cols), test).select("query_id", "chunk_id")
 
 
 def hybrid_search(asked: DataFrame, corpus: Corpus, s: Settings = SETTINGS) -> tuple[DataFrame | None, DataFrame | None]:
@@ -57,7 +57,7 @@ def hybrid_search(asked: DataFrame, corpus: Corpus, s: Settings = SETTINGS) -> t
     most = max(s.vector_top_k, s.bm25_top_k, s.candidate_pool)
 
     def whole(found: DataFrame, k: int) -> DataFrame:
-        rows = found.withColumnRenamed("query_id", "sub").join(F.broadcast(spec), "sub")
+        rows = found.withColumnRenamed("query_id", "sub").join(sized(spec), "sub")
         rows = rows.where(F.col("rank") <= F.when(F.col("entity") == "", k).otherwise(F.col("per_entity_k")))
         return interleave(rows.select(F.col("query").alias("query_id"), "chunk_id", "rank", "score", "group_no")).select("query_id", "chunk_id", "rank", "score")
 
@@ -84,7 +84,7 @@ def retrieve(asked: DataFrame, corpus: Corpus, scorer=None, s: Settings = SETTIN
         raise ValueError("neither vectors nor an index to search")
     top = vec.groupBy("query_id").agg(F.max("score").alias("top_similarity")) if vec is not None else asked.select("query_id", F.lit(None).cast("double").alias("top_similarity"))
     pool = asked.select("query_id", "question", "boosts", "facets", "pool_size", "evidence_limit")
-    fused = reciprocal_rank_fusion(lists, s.rrf_k).join(F.broadcast(pool), "query_id").where(F.col("rank") <= F.col("pool_size"))
+    fused = reciprocal_rank_fusion(lists, s.rrf_k).join(sized(pool), "query_id").where(F.col("rank") <= F.col("pool_size"))
     rows = shared_table(fused.join(corpus.chunks.drop("query_id", "rank", "score"), "chunk_id"), "pools")
     rows = boosted(rerank(boosted(rows), scorer))
     rows = rows.withColumns({"facets_met": P.facets_met(F.col("facets")), "sections_met": P.sections_met(F.col("boosts"), F.col("facets"), loose=True)})
@@ -171,7 +171,7 @@ def variants(asked: DataFrame, corpus: Corpus, scorer=None, s: Settings = SETTIN
     lists = {k: v for k, v in named.items() if v is not None}
     fused = reciprocal_rank_fusion([v for v in (vec, bm) if v is not None], s.rrf_k, s.candidate_pool)
     texts = corpus.chunks.select("chunk_id", "text")
-    again = rerank(fused.join(texts, "chunk_id").join(F.broadcast(asked.select("query_id", "question")), "query_id"), scorer)
+    again = rerank(fused.join(texts, "chunk_id").join(sized(asked.select("query_id", "question")), "query_id"), scorer)
     lists |= {"hybrid": fused, "hybrid+rerank": again}
     out = None
     for name, rows in lists.items():

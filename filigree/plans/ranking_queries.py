@@ -130,7 +130,7 @@ def cosine_filtered_topk(spark, d):
 @query(_near(part="query_id, label", limit=2, more="label,"))
 def cosine_topk_per_group(spark, d):
     vectors, asked = _vectors(spark, d)
-    pairs = vectors.crossJoin(F.broadcast(asked.withColumnRenamed("embedding", "q")))
+    pairs = vectors.crossJoin(R.sized(asked.withColumnRenamed("embedding", "q"), 1000))
     scored = pairs.select("query_id", "chunk_id", "label", F.round(R.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
     return _hits(R.top_k(scored, 2, ["chunk_id"], ("query_id", "label")), "label")
 
