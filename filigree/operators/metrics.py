@@ -109,6 +109,34 @@ def regressions(now: DataFrame, before: DataFrame, tolerance: float = fixed.REGR
     return both.select("metric", "prev", "cur", delta.alias("delta"), F.when(worse > tolerance, "regression").when(worse < -tolerance, "improvement").alias("verdict"))
 
 
+# --- views of a report -----------------------------------------------------------------------
+
+HEADLINES = ("precision", "mrr", "ndcg", "company_recall", "ab.hybrid.recall", "faithfulness", "answer_relevancy")
+
+
+def headlines(rows: DataFrame, names: tuple[str, ...] = HEADLINES) -> DataFrame:
+    """The (metric, value) rows that head a report, in a fixed order."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("metric"))
+    return rows.where(F.col("metric").isin(*names)).orderBy(place)
+
+
+def recall_by_mode(means: DataFrame) -> DataFrame:
+    return means.select("mode", "recall").orderBy("mode")
+
+
+def mode_table(means: DataFrame, metric: str) -> DataFrame:
+    """One row with a column for each mode."""
+    modes = [r.mode for r in means.select("mode").distinct().orderBy("mode").collect()]  # a handful
+    return means.groupBy().pivot("mode", modes).agg(F.first(metric))
+
+
+def find_cases(cases: DataFrame, text: str = "", refused: bool | None = None) -> DataFrame:
+    """Cases whose id or question holds a text, in any case, and that were refused or not."""
+    low = F.lower(F.lit(text))
+    found = cases.where(F.lower(F.col("case_id").cast("string")).contains(low) | F.lower("question").contains(low))
+    return found if refused is None else found.where(F.coalesce("refused", F.lit(False)) == refused)
+
+
 # --- profiles and checks ---------------------------------------------------------------------
 
 

@@ -104,6 +104,15 @@ def test_metrics(spark):
     assert "t&lt;" in page and page.count("<tr>") == 4
 
 
+def test_report_views(spark):
+    rows = spark.createDataFrame([("ndcg", 0.1), ("mrr", 0.2), ("other", 0.3)], "metric string, value double")
+    assert [r.metric for r in M.headlines(rows).collect()] == ["mrr", "ndcg"]
+    means = spark.createDataFrame([("hybrid", 0.5), ("bm25", 0.25)], "mode string, recall double")
+    assert M.recall_by_mode(means).first().mode == "bm25" and M.mode_table(means, "recall").first().asDict() == {"bm25": 0.25, "hybrid": 0.5}
+    cases = spark.createDataFrame([("q1", "About Apple", True), ("q2", "apple pie", None)], "case_id string, question string, refused boolean")
+    assert M.find_cases(cases, "APPLE").count() == 2 and M.find_cases(cases, refused=True).first().case_id == "q1" and M.find_cases(cases, "q2").count() == 1
+
+
 def test_integrity(spark):
     cleaned = spark.createDataFrame([("d", "abc"), ("e", "xyz xmlns:a")], "doc_id string, text string")
     meta = spark.createDataFrame([("d", "T", "10-K", 2022)], "doc_id string, ticker string, form string, year int")
