@@ -89,8 +89,13 @@ class Lexicon:
                 for c in term:
                     node = node.setdefault(c, {})
                 node["", kind] = (term, weight)
-        self.heads = {w[:2] for w in words if len(w) >= FUZZY_FROM and w not in exact}
-        self.tails = {w[-2:] for w in words if len(w) >= FUZZY_FROM and w not in exact}
+        # One edit leaves the first or the last half of a term as it is.
+        self.halves: dict[int, set[tuple[bool, str]]] = {}
+        for w in words:
+            if len(w) >= FUZZY_FROM and w not in exact:
+                for n in (len(w) - 1, len(w), len(w) + 1):
+                    self.halves.setdefault(n, set()).update({(True, w[: len(w) // 2]), (False, w[-(len(w) // 2) :])})
+        self.half_sizes = {n: sorted({len(h) for _, h in own}) for n, own in self.halves.items()}
         self.stem_sizes = sorted({len(s) for s in stems})
 
     def match(self, word: str) -> tuple[str, float, int] | None:
@@ -99,8 +104,8 @@ class Lexicon:
         for n in self.stem_sizes:
             if len(word) > n and word[:n] in self.stems and (best is None or self.stems[word[:n]] > best[1]):
                 best = (word[:n], self.stems[word[:n]], 0)
-        # One edit leaves the first or the last two characters of a longer word as they are.
-        if best or len(word) < FUZZY_FROM - 1 or not (word[:2] in self.heads or word[-2:] in self.tails):
+        own = self.halves.get(len(word))
+        if best or own is None or not any((True, word[:k]) in own or (False, word[-k:]) in own for k in self.half_sizes[len(word)]):
             return best
         automaton = Automaton(word, 1)
         found = None
