@@ -13,9 +13,9 @@ times 2**33 plus a number in it. Memory: one slice of text, the open windows and
 cache of word ids.
 
 Tokenising: the tokenizer's own splitting never crosses ASCII white space, so ids are made
-for white-space separated words and kept in a cache of at most ``CACHE`` words. New words
+for white-space separated words and kept in a cache of about ``CACHE`` words. New words
 of plain letters, digits and signs are split into the tokenizer's pretokens, of which there
-are fewer; the tokenizer encodes new pretokens, and all other words as they are.
+are fewer (at most about ``MOST_PRETOKENS`` are kept); the tokenizer encodes new pretokens, and all other words as they are.
 
 Edge cases: null or empty text is a document of the closing id alone; a null id stays null;
 equal rows are packed apart. Columns other than id and text are not read.
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from filigree.llm.words import ramps, raw, slices
 from filigree.session import ship_package, table
 
-CACHE = 600_000
+CACHE = 400_000
+MOST_PRETOKENS = 500_000
 _END = b"\n"
 #: Words of these bytes only are split into pretokens here: ASCII but the apostrophe and
 #: the special tokens' bars, and letters of Latin-1 and Latin Extended-A without a mark of
@@ -115,7 +116,7 @@ class WordIds:
     def _learn(self, words: list[bytes]) -> None:
         plain = [w for w in words if _PLAIN(w) and b"<|" not in w]
         split = [_PIECES(w.decode().lower()) for w in plain]
-        if len(self.piece) > CACHE:
+        if len(self.piece) > MOST_PRETOKENS:
             self._reset_pieces()
         self._learn_pieces(list({p for own in split for p in own}.difference(self.piece)))
         ids, size = self.pieces.take(np.fromiter((self.piece[p] for own in split for p in own), np.int64))
@@ -276,7 +277,7 @@ def pack(docs: DataFrame, tokenizer_json: str, length: int = 4096, closing: int
             return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(arrays)])
 
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
+            for part in slices(batch, 1, 2 << 20):
                 data, at = raw(part.column(1))
                 data = data.tobytes()
                 docs_ids = part.column(0).to_pylist()

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 U = np.uint64
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: For tokens: every ASCII character that is no letter or digit separates.
@@ -29,7 +29,7 @@ WORD_BASE = 0x9E3779B97F4A7C15
 WINDOW_BASES = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for b in (base, pow(base, -1, 2**64)):
@@ -42,8 +42,8 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    size = max(1 << 21, 1 << int(n - 1).bit_length()) if n > 1 else 1 << 21
-    up, down = _powers(base, size) if size <= 1 << 22 else _powers.__wrapped__(base, size)
+    size = max(1 << 19, 1 << int(n - 1).bit_length()) if n > 1 else 1 << 19
+    up, down = _powers(base, size) if size <= 1 << 21 else _powers.__wrapped__(base, size)
     return up[:n], down[:n]
 
 
