@@ -16,7 +16,8 @@
    no task holds more than two blocks; nothing is dropped.
 5. Components of the confirmed links are the result.
 
-A pair at similarity 0.85 shares no band with probability (1 - 0.85**5)**32 = 7e-9.
+A pair at similarity 0.85 shares no band with probability (1 - 0.85**5)**32 = 7e-9, one
+at 0.80 (the pipeline's stage) with probability 3e-6.
 
 Edge cases: null and empty texts have an empty set and are linked with nothing; a null id
 is returned with a null component and kept; equal rows fall in one class and are all kept

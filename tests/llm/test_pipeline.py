@@ -6,6 +6,8 @@ import random
 import pytest
 from edge_cases import edge_rows, prose
 
+from filigree.llm.near_dedup import drop_near_duplicates
+
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
@@ -45,3 +47,13 @@ def test_stages(spark, folder):
     assert "abcdef123456" not in hidden.text and hidden.n_chars == len(hidden.text)
     packed = docs.groupBy("doc_id").agg({"length": "sum", "doc_tokens": "max"}).where("doc_id is not null").collect()
     assert {r.doc_id for r in packed} == ids[3] - {None} and os.path.isdir(folder)
+
+
+def test_near_dedup_stage_takes_pairs_from_080(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    base = [f"word{i}" for i in range(204)]
+    near = [f"other{i}" if i in (30, 80, 130, 180) else w for i, w in enumerate(base)]  # 180 of 220 shingles: 0.818
+    far = [f"third{i}" if i in (20, 50, 80, 110, 140, 170) else w for i, w in enumerate(base)]  # 170 of 230: 0.739
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r.doc_id for r in pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
+    assert {r.doc_id for r in drop_near_duplicates(docs).collect()} == {1, 2, 3}
