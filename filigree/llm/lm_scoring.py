@@ -1,16 +1,16 @@
-"""Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
+"""Language-model scores from exact word and word-pair counts, joined by hash buckets.
 
-Training counts words and word pairs (with a start and an end mark) of every training text.
-A count c has the level floor(2 log2 c); the filter holds (n-gram, level) for each level
-from the least one up to its own, so a count is read back by probing levels until one is
-missing. Counts are gathered by hash buckets, whose number grows with the tokens; each
-bucket is merged by one task into its own part of the filter. The filter has about
-``bits_per_token`` bits for each training token and at most ``filter_bytes``: where a
-bucket would not fit, its least level rises until it does. It is broadcast.
+Training counts words and word pairs (with a start and an end mark) of every training text;
+no n-gram is left out, whatever its count. Texts are read in slices. A slice sends its
+distinct n-grams, each with its count in the slice's training texts, to hash buckets, whose
+number grows with the tokens. One task adds up a bucket and answers every slice with the
+totals of the n-grams that it sent; a slice meets its answers and its texts again and is
+scored. Nothing that grows with the input is broadcast or reaches the driver. Texts are read
+twice in the same order: a slice whose answers are not those of its own n-grams is an error.
 
 The model interpolates pair and word probabilities. Weights depend on how often the
-context was seen and maximise the likelihood of at most ``sample`` training texts with one
-taken off every count (leaving one out).
+context was seen and maximise the likelihood of all training texts with one taken off
+every count (leaving one out); their sums are one table of fixed size.
 
 The base score uses exact counts. The most frequent words (at most ``head``) are broadcast
 with their counts and summed where a text is read; only the other words of a text are
@@ -23,6 +23,8 @@ are scored alike. Columns other than id and text are not read.
 
 from __future__ import annotations
 
+from zlib import compress, crc32, decompress
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -35,10 +37,10 @@ from filigree.session import shared_table, ship_package, table
 
 END, START = U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)
 _SALT, _LEFT, _RIGHT = U(0x9AE16A3B2F90404F), U(0xC949C7DEFA1B9E35), U(0xFF51AFD7ED558CCD)
-LEAST = 2
-PROBES = 3
+SLICE = 8 << 20
+BUCKET = 1_000_000
 GRID = np.array([0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95])
-CONTEXTS = 24
+CONTEXTS = 40
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,68 +66,38 @@ def pair_key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return mix(context * _LEFT + token * _RIGHT)
 
 
-def level(count: np.ndarray) -> np.ndarray:
-    """floor(2 log2 count) for counts >= 1, exact by integer squares."""
-    c = np.asarray(count, float)
-    return np.floor(2 * np.log2(c) + 1e-12).astype(np.int64)
-
-
-def value(levels: np.ndarray) -> np.ndarray:
-    """A count for each level: the geometric middle; 0 for level 0 (not found)."""
-    return np.where(levels > 0, 2.0 ** (levels / 2 + 0.25), 0.0)
-
-
-def _places(keys: np.ndarray, levels, bits: int):
-    a = mix(keys + np.asarray(levels, np.uint64) * U(0x9E3779B97F4A7C15))
-    step = (a >> U(33)) | U(1)
-    for k in range(PROBES):
-        yield ((a + step * U(k)) % U(bits)).astype(np.int64)
+def ngrams(texts: pa.Array):
+    """The distinct n-grams of all rows and where they are.
 
+    Token hashes and row offsets as `tokens` gives them; keys of the distinct words, of START
+    and of the distinct pairs; of each pair the places of its word and of its context among
+    the keys; of each token its word and its pair.
+    """
+    token, context, at = tokens(texts)
+    own, word = np.unique(token, return_inverse=True)
+    before = np.r_[len(own), word[:-1]]
+    before[at[:-1]] = len(own)
+    pairs, first, pair = np.unique(pair_key(context, token), return_index=True, return_inverse=True)
+    keys = np.concatenate([word_key(own), word_key(np.array([START])), pairs])
+    return token, at, keys, word[first], before[first], word, pair
 
-class LogBloom:
-    """A filter of `buckets` parts of `bits` bits; least: each part's least level."""
 
-    def __init__(self, data: np.ndarray, least: np.ndarray, bits: int) -> None:
-        self.data, self.least, self.bits = data, least, bits
-        self.buckets = len(least)
+def by_bucket(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by bucket, and the bucket and start of each run in that order."""
+    bucket = home(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    return order, bucket[cuts], np.r_[cuts, len(keys)]
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """The level found for each key, 0 where none is."""
-        out = np.zeros(len(keys), np.int64)
-        bucket = home(keys, self.buckets)
-        now = self.least[bucket]
-        base = bucket * self.bits
-        live = np.arange(len(keys))
-        while len(live):
-            found = np.ones(len(live), bool)
-            for at in _places(keys[live], now[live], self.bits):
-                p = base[live] + at
-                found &= (self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-            live = live[found]
-            out[live] = now[live]
-            now[live] += 1
-        return out
 
-    def distinct_levels(self, keys: np.ndarray) -> np.ndarray:
-        own, back = np.unique(keys, return_inverse=True)
-        return self.levels(own)[back]
-
-
-def part(keys: np.ndarray, counts: np.ndarray, bits: int, per_entry: int = 8) -> tuple[int, bytes]:
-    """One bucket's least level and bits; keys may repeat, their counts add up."""
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
-    total = np.add.reduceat(counts, first) if len(first) else counts
-    own, top = keys[first], level(total) if len(first) else np.empty(0, np.int64)
-    least = LEAST
-    while np.maximum(top - least + 1, 0).sum() * per_entry > bits:
-        least += 1
-    data = np.zeros(bits, bool)
-    for now in range(least, int(top.max(initial=0)) + 1):
-        for at in _places(own[top >= now], now, bits):
-            data[at] = True
-    return least, np.packbits(data, bitorder="little").tobytes()
+def cut(batches):
+    """(number, ids, texts) of consecutive slices; a slice's number is that of its first row."""
+    number = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        for piece in slices(batch, 1, SLICE):
+            yield number, piece.column(0), piece.column(1)
+            number += len(piece)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -144,91 +116,114 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
 
 
-def train_filter(train: DataFrame, n_tokens: int, bits_per_token: float = 2.0, filter_bytes: int = 48 << 20) -> LogBloom:
-    """The filter over words and pairs of all training texts."""
-    buckets = int(max(8, -(-n_tokens // 1_000_000)))
-    total = int(min(filter_bytes * 8, max(1 << 16, n_tokens * bits_per_token)))
-    bits = max(64, total // buckets // 8 * 8)
+def gathered(docs: DataFrame, buckets: int) -> DataFrame:
+    """(slice, bucket, check, counts): training totals of each slice's distinct n-grams."""
 
-    def gather(batches):
-        for batch in batches:
-            keys = []
-            for piece in slices(batch, 1, 4 << 20):
-                token, context, at = tokens(piece.column(1))
-                keys += [word_key(token), word_key(np.full(len(at) - 1, START)), pair_key(context, token)]
-            if not keys:
-                continue
-            own, n = np.unique(np.concatenate(keys), return_counts=True)
-            bucket = home(own, buckets)
-            order = np.argsort(bucket, kind="stable")
-            own, n, bucket = own[order], n[order].astype("<u4"), bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[cuts[1:], len(own)]
+    def ask(batches):
+        for number, ids, texts in cut(batches):
+            _, at, keys, _, _, word, pair = ngrams(texts)
+            trained = ~in_held_out(ids)
+            of = np.repeat(trained, np.diff(at)).astype(float)
+            words = np.bincount(word, of)
+            n = np.concatenate([words, [trained.sum()], np.bincount(pair, of)]).astype("<u4")
+            order, bucket, ends = by_bucket(keys, buckets)
+            own, n = keys[order], n[order]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(bucket[cuts].astype(np.int32)),
-                    pa.array([own[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
-                    pa.array([n[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary()),
+                    pa.array(np.full(len(bucket), number)),
+                    pa.array(bucket.astype(np.int32)),
+                    pa.array([own[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
+                    pa.array([n[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
                 ],
-                ["bucket", "keys", "counts"],
+                ["slice", "bucket", "keys", "counts"],
             )
 
-    def merge(group: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
-        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4").astype(np.int64)
-        least, data = part(keys, counts, bits)
-        return pa.table({"bucket": group.column("bucket")[:1], "least": pa.array([least], pa.int32()), "bits": pa.array([data], pa.binary())})
+    def answer(group: pa.Table) -> pa.Table:
+        asked = group.column("keys").to_pylist()
+        keys = np.frombuffer(b"".join(asked), np.uint64)
+        own, back = np.unique(keys, return_inverse=True)
+        total = np.bincount(back, np.frombuffer(b"".join(group.column("counts").to_pylist()), "<u4")).astype(np.int64)
+        ends = np.r_[0, np.cumsum([len(k) // 8 for k in asked])]
+        found = []
+        for a, b in zip(ends, ends[1:]):
+            n = total[back[a:b]]
+            found.append(compress(n.astype(np.min_scalar_type(n.max())).tobytes(), 1))
+        check = np.add.reduceat(keys, ends[:-1])
+        return pa.table({"slice": group.column("slice"), "bucket": group.column("bucket"), "check": pa.array(signed(check)), "counts": pa.array(found, pa.binary())})
+
+    asked = docs.mapInArrow(ask, "slice long, bucket int, keys binary, counts binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket int, check long, counts binary")
 
-    rows = train.mapInArrow(gather, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(merge, "bucket int, least int, bits binary")
-    data = np.zeros(buckets * bits // 8, np.uint8)  # at most filter_bytes
-    least = np.full(buckets, LEAST, np.int64)
-    for r in rows.toLocalIterator():
-        data[r.bucket * bits // 8 : (r.bucket + 1) * bits // 8] = np.frombuffer(r.bits, np.uint8)
-        least[r.bucket] = r.least
-    return LogBloom(data, least, bits)
+
+def in_held_out(ids: pa.Array) -> np.ndarray:
+    """`held_out` of each id of an Arrow column."""
+    return np.array([i is not None and crc32(str(i).encode()) % 7 == 2 for i in ids.to_pylist()], bool)
+
+
+def counts_of(keys: np.ndarray, buckets: int, answers: pa.Table) -> np.ndarray:
+    """The total of each key of a slice from the answers of its buckets."""
+    order, bucket, ends = by_bucket(keys, buckets)
+    answers = answers.sort_by("bucket")
+    found = answers.column("counts").to_pylist()
+    check = np.add.reduceat(keys[order], ends[:-1])
+    if answers.column("bucket").to_pylist() != bucket.tolist() or answers.column("check").to_pylist() != signed(check).tolist():
+        raise RuntimeError("the texts were read in another order than before")
+    total = np.empty(len(keys), np.int64)
+    for a, b, f in zip(ends, ends[1:], map(decompress, found)):
+        total[order[a:b]] = np.frombuffer(f, f"<u{len(f) // (b - a)}")
+    return total
+
+
+def with_counts(docs: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
+    """run(texts of one slice: slice, ids, texts; its answers) for every slice."""
+
+    def whole(batches):
+        for number, ids, texts in cut(batches):
+            one = pa.array([0, len(ids)], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, texts)], ["slice", "ids", "texts"])
+
+    texts = docs.mapInArrow(whole, "slice long, ids array<long>, texts array<string>")
+    return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 
 class Model:
-    """Word and pair probabilities from a filter; weights by the level of the context."""
-
-    def __init__(self, counts: LogBloom, n_tokens: int, n_types: int) -> None:
-        self.counts, self.n, self.z = counts, n_tokens, float(n_tokens + n_types + 1)
-        self.weights = np.full(CONTEXTS, 0.1)
-
-    def parts(self, token: np.ndarray, context: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word probability, pair probability and context class; `less` is taken off counts."""
-        own, back = np.unique(np.concatenate([token, context]), return_inverse=True)
-        levels = self.counts.levels(word_key(own))
-        word = value(levels)[back]
-        n, seen = word[: len(token)], word[len(token) :]
-        pair = value(self.counts.levels(pair_key(context, token)))
-        pair = np.minimum(np.maximum(pair - less, 0), np.maximum(seen - less, 0))
-        share = np.where(seen > less, pair / np.maximum(seen - less, 1e-9), 0.0)
-        kind = np.minimum(levels[back][len(token) :] // 2, CONTEXTS - 1)
-        return (np.maximum(n - less, 0) + 1) / self.z, share, kind
-
-    def log10(self, token: np.ndarray, context: np.ndarray) -> np.ndarray:
-        word, share, kind = self.parts(token, context)
+    """Word and pair probabilities from counts; weights by the count of the context."""
+
+    def __init__(self, n_tokens: int, n_types: int) -> None:
+        self.z = float(n_tokens + n_types + 1)
+        self.weights = np.full(CONTEXTS, GRID[0])
+
+    def parts(self, total: np.ndarray, word: np.ndarray, context: np.ndarray, less: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word probability, pair probability and context class of each distinct pair, of which
+        `total` ends with the counts; `less` is taken off counts."""
+        total = np.maximum(total - less, 0)
+        n, seen, pair = total[word], total[context], total[len(total) - len(word) :]
+        share = pair / np.maximum(seen, 1)
+        return (n + 1) / self.z, share, np.minimum(np.frexp(seen.astype(float))[1], CONTEXTS - 1)
+
+    def log10(self, total: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        single, share, kind = self.parts(total, word, context)
         w = self.weights[kind]
-        return np.log10((1 - w) * word + w * share)
-
-    def choose(self, train: DataFrame, sample: int) -> Model:
-        """Weights that suit a bounded sample of training texts best, leaving one out."""
-        shared = train.sparkSession.sparkContext.broadcast(self)
-
-        def run(batches):
-            total = np.zeros((CONTEXTS, len(GRID)))
-            for batch in batches:
-                for piece in slices(batch, 1, 1 << 20):
-                    token, context, _ = tokens(piece.column(1))
-                    word, share, kind = shared.value.parts(token, context, 1)
-                    for k, w in enumerate(GRID):
-                        total[:, k] += np.bincount(kind, np.log10((1 - w) * word + w * share), CONTEXTS)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
-
-        rows = train.orderBy(F.xxhash64("doc"), "doc").limit(sample).mapInArrow(run, "sums binary").collect()
-        total = sum((np.frombuffer(r.sums).reshape(CONTEXTS, len(GRID)) for r in rows), np.zeros((CONTEXTS, len(GRID))))
-        self.weights = np.where(total.any(1), GRID[total.argmax(1)], GRID[0])
+        return np.log10((1 - w) * single + w * share)
+
+    def choose(self, docs: DataFrame, answers: DataFrame, buckets: int) -> Model:
+        """Weights that suit all training texts best, leaving one out."""
+
+        def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+            ids, rows = (texts.column(k).combine_chunks().flatten() for k in ("ids", "texts"))
+            _, at, keys, word, context, _, pair = ngrams(rows)
+            times = np.bincount(pair, np.repeat(~in_held_out(ids), np.diff(at)))
+            single, share, kind = self.parts(counts_of(keys, buckets, answers), word, context, 1)
+            sums = [np.bincount(kind, times * np.log10((1 - w) * single + w * share), CONTEXTS) for w in GRID]
+            at = np.arange(CONTEXTS * len(GRID))
+            return pa.table({"cell": pa.array(at.astype(np.int32)), "total": pa.array(np.concatenate(sums))})
+
+        rows = with_counts(docs, answers, run, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).collect()
+        total = np.zeros(len(GRID) * CONTEXTS)
+        for r in rows:
+            total[r.cell] = r.total
+        total = total.reshape(len(GRID), CONTEXTS)
+        self.weights = np.where(total.any(0), GRID[total.argmax(0)], GRID[0])
         return self
 
 
@@ -248,7 +243,7 @@ def head_counts(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], found.column("count").to_numpy()[order]
 
 
-def score(docs: DataFrame, filter_bytes: int = 48 << 20, bits_per_token: float = 2.0, head: int = 1 << 20, sample: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, head: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     ship_package(spark)
@@ -257,48 +252,48 @@ def score(docs: DataFrame, filter_bytes: int = 48 << 20, bits_per_token: float =
     counts = shared_table(token_counts(train), "token-counts")
     first = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = int(first.n), int(first.v)
-    model = Model(train_filter(train, n, bits_per_token, filter_bytes), n, v).choose(train, sample)
+    buckets = max(8, -(-n // BUCKET))
+    answers = shared_table(gathered(docs, buckets), "ngram-counts")
+    model = Model(n, v).choose(docs, answers, buckets)
     known, times = head_counts(counts, head)
     shared = spark.sparkContext.broadcast((model, known, times))
     unit = float(n + v + 1)
 
-    def run(batches):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         model, known, times = shared.value
         logs = np.log10((times + 1) / unit)
-        number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for piece in slices(batch, 1, 2 << 20):
-                token, context, at = tokens(piece.column(1))
-                rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                k = np.searchsorted(known, token)
-                k[k == len(known)] = 0
-                common = known[k] == token if len(known) else np.zeros(len(token), bool)
-                base = np.bincount(rows[common], logs[k[common]], len(at) - 1)
-                seen = np.bincount(rows[common], minlength=len(at) - 1)
-                total = np.bincount(rows, model.log10(token, context), len(at) - 1)
-                rare, row = token[~common], rows[~common]
-                order = np.lexsort((rare, row))
-                rare, row = rare[order], row[order]
-                new = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])]) if len(rare) else np.empty(0, np.int64)
-                often = np.diff(np.r_[new, len(rare)])
-                offsets = pa.array(np.searchsorted(row[new], np.arange(len(at))).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(number + np.arange(len(at) - 1)),
-                        piece.column(0),
-                        pa.array(np.diff(at)),
-                        pa.array(seen.astype(np.int64)),
-                        pa.array(base),
-                        pa.array(total),
-                        pa.ListArray.from_arrays(offsets, pa.array(signed(rare[new]))),
-                        pa.ListArray.from_arrays(offsets, pa.array(often.astype(np.int32))),
-                    ],
-                    ["uid", "doc_id", "n_tokens", "seen", "base", "score", "rare", "often"],
-                )
-                number += len(at) - 1
+        number = texts.column("slice")[0].as_py()
+        ids, text = (texts.column(k).combine_chunks().flatten() for k in ("ids", "texts"))
+        token, at, keys, word, context, _, pair = ngrams(text)
+        rows = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        k = np.searchsorted(known, token)
+        k[k == len(known)] = 0
+        common = known[k] == token if len(known) else np.zeros(len(token), bool)
+        base = np.bincount(rows[common], logs[k[common]], len(at) - 1)
+        seen = np.bincount(rows[common], minlength=len(at) - 1)
+        total = np.bincount(rows, model.log10(counts_of(keys, buckets, answers), word, context)[pair], len(at) - 1)
+        rare, row = token[~common], rows[~common]
+        order = np.lexsort((rare, row))
+        rare, row = rare[order], row[order]
+        new = np.flatnonzero(np.r_[True, (rare[1:] != rare[:-1]) | (row[1:] != row[:-1])]) if len(rare) else np.empty(0, np.int64)
+        often = np.diff(np.r_[new, len(rare)])
+        offsets = pa.array(np.searchsorted(row[new], np.arange(len(at))).astype(np.int32))
+        return pa.Table.from_arrays(
+            [
+                pa.array(number + np.arange(len(at) - 1)),
+                ids,
+                pa.array(np.diff(at)),
+                pa.array(seen.astype(np.int64)),
+                pa.array(base),
+                pa.array(total),
+                pa.ListArray.from_arrays(offsets, pa.array(signed(rare[new]))),
+                pa.ListArray.from_arrays(offsets, pa.array(often.astype(np.int32))),
+            ],
+            ["uid", "doc_id", "n_tokens", "seen", "base", "score", "rare", "often"],
+        )
 
     schema = "uid long, doc_id long, n_tokens long, seen long, base double, score double, rare array<long>, often array<int>"
-    scored = shared_table(docs.mapInArrow(run, schema), "scored")
+    scored = shared_table(with_counts(docs, answers, run, schema), "scored")
     rest = scored.select("uid", F.explode(F.arrays_zip("rare", "often")).alias("t")).select("uid", F.col("t.rare").alias("token"), F.col("t.often").alias("often"))
     rest = rest.join(counts, "token", "left")
     c = F.coalesce("count", F.lit(0))

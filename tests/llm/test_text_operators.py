@@ -14,6 +14,7 @@ from edge_cases import edge_rows
 from filigree.llm import bloom
 from filigree.llm.components import connected_components
 from filigree.llm.decontamination import ItemIndex, contaminated, drop_contaminated
+from filigree.llm import lm_scoring as LM
 from filigree.llm.lm_scoring import score as lm_score
 from filigree.llm.near_dedup import drop_near_duplicates, near_duplicates
 from filigree.llm.quality_rules import cascade, filter_documents, judge, ordered, rules
@@ -175,6 +176,42 @@ def test_lm_scoring(edges, head):
     assert np.allclose([g[-1] for g in got], [w[-1] for w in want])
 
 
+def test_lm_score_counts_every_pair(spark):
+    """`score` by brute force over exact counts, once-seen pairs among them."""
+    rows = [(i, t) for i, (_, t) in enumerate(edge_rows())] + [(None, "one river river"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
+    pairs = [[(a, b) for own in [["<s>", *(w.translate(LOWER) for w in words(t)), "\n"]] for a, b in zip(own, own[1:])] for _, t in rows]
+    two = Counter(p for own, h in zip(pairs, held) if not h for p in own)
+    left, right = Counter(), Counter()
+    for (a, b), k in two.items():
+        left[a] += k
+        right[b] += k
+    z = sum(right.values()) + len(right) + 1
+
+    def parts(p, less=0):
+        seen = max(left[p[0]] - less, 0)
+        return (max(right[p[1]] - less, 0) + 1) / z, max(two[p] - less, 0) / max(seen, 1), seen.bit_length()
+
+    sums = {}
+    for p, k in two.items():
+        single, share, kind = parts(p, 1)
+        for w in LM.GRID:
+            sums.setdefault(kind, Counter())[w] += k * math.log10((1 - w) * single + w * share)
+    best = {kind: max(own, key=own.get) for kind, own in sums.items()}
+
+    def log(p):
+        single, share, kind = parts(p)
+        w = best.get(kind, LM.GRID[0])
+        return math.log10((1 - w) * single + w * share)
+
+    assert sum(k == 1 for k in two.values()) > len(two) / 2
+    want = sorted(key((d, len(own))) + (sum(map(log, own)),) for (d, _), own in zip(rows, pairs))
+    got = sorted(key((r.doc_id, r.n_tokens)) + (r.score,) for r in lm_score(docs).collect())
+    assert [g[:-1] for g in got] == [w[:-1] for w in want]
+    assert np.allclose([g[-1] for g in got], [w[-1] for w in want])
+
+
 def test_lm_scoring_empty(edges):
     assert lm_score(edges.where("false")).count() == 0
 
