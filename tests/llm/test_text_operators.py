@@ -212,6 +212,14 @@ def test_lm_score_counts_every_pair(spark):
     assert np.allclose([g[-1] for g in got], [w[-1] for w in want])
 
 
+def test_lm_score_tells_once_seen_from_unseen(spark):
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    free = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:2]
+    rows = [(free[0], "red stone"), (free[1], "blue river"), (held[0], "red stone"), (held[1], "red river")]
+    got = {r.doc_id: r.score for r in lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]]
+
+
 def test_lm_scoring_empty(edges):
     assert lm_score(edges.where("false")).count() == 0
 
