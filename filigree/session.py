@@ -11,6 +11,10 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Most bytes of rows that go to a Python worker at once.
+ARROW_BYTES = 8 << 20
+
+
 def local_session(cores: str = "8", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session for tests and benchmarks."""
     builder = (
@@ -36,6 +40,9 @@ def ship_package(spark: SparkSession) -> None:
     package modules need the package served by the driver.
     """
     context = spark.sparkContext
+    # A batch of Arrow rows is held by the JVM and by a worker at once: 64 MB of text by default.
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     if getattr(context, "_filigree_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
@@ -53,12 +60,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a new one where unset."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir; where unset, a new one of a local master."""
+    context = spark.sparkContext
+    given = context.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    context = spark.sparkContext
     if not getattr(context, "_filigree_shared", None):
+        if context.master.startswith("local-cluster") or not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context._filigree_shared = tempfile.mkdtemp(prefix="filigree-shared-")
     return context._filigree_shared
 
