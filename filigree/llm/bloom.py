@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filigree.llm.words import U, mix
+from filigree.llm.words import U, frugal, mix
 
 SEGMENT_BITS = 1 << 20
 
@@ -89,7 +89,7 @@ def build(keys: DataFrame, n: int, max_bytes: int = 32 << 20, bits_per_key: int
     if n:
         # Each task holds whole segments: keys meet by the JVM's hash of the segment's number.
         routed = keys.select(F.col(name).alias("k")).withColumn("s", F.pmod(F.col("k"), F.lit(segments)))
-        rows = routed.repartition("s").select("k").mapInArrow(parts, "seg long, bits binary")
+        rows = routed.repartition("s").select("k").mapInArrow(frugal(parts), "seg long, bits binary")
         for row in rows.toLocalIterator():
             at = row.seg * SEGMENT_BITS // 8
             bits[at : at + SEGMENT_BITS // 8] |= np.frombuffer(row.bits, np.uint8)
@@ -118,6 +118,6 @@ def exclude(rows: DataFrame, ids: DataFrame, name: str, max_bytes: int = 32 << 2
 
         return run
 
-    maybe = rows.mapInArrow(side(True), rows.schema)
+    maybe = rows.mapInArrow(frugal(side(True)), rows.schema)
     key = ids.columns[0]
-    return rows.mapInArrow(side(False), rows.schema).unionByName(maybe.join(ids.hint("shuffle_merge"), maybe[name] == ids[key], "left_anti"))
+    return rows.mapInArrow(frugal(side(False)), rows.schema).unionByName(maybe.join(ids.hint("shuffle_merge"), maybe[name] == ids[key], "left_anti"))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.words import PUNCTUATION, U, Words, ramps, slices, windows
+from filigree.llm.words import PUNCTUATION, U, Words, frugal, ramps, slices, windows
 from filigree.session import ship_package, table
 
 K1, B = 1.2, 0.75
@@ -268,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6,
                     columns = [pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(5)]
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        found = docs.mapInArrow(run, schema)
+        found = docs.mapInArrow(frugal(run), schema)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -288,7 +288,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
                     keep[[r for r, _ in judge(shared.value, part.column(at), question, answer)]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(frugal(run), docs.schema)
     return docs
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm.bloom import home
-from filigree.llm.words import U, Words, mix, signed, slices
+from filigree.llm.words import U, Words, frugal, mix, signed, slices
 from filigree.session import shared_table, ship_package, table
 
 END, START = U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179)
@@ -113,7 +113,7 @@ def token_counts(train: DataFrame) -> DataFrame:
                 own, n = np.unique(tokens(piece.column(1))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(own)), pa.array(n)], ["token", "n"])
 
-    return train.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
+    return train.mapInArrow(frugal(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("count"))
 
 
 def gathered(docs: DataFrame, buckets: int) -> DataFrame:
@@ -151,7 +151,7 @@ def gathered(docs: DataFrame, buckets: int) -> DataFrame:
         check = np.add.reduceat(keys, ends[:-1])
         return pa.table({"slice": group.column("slice"), "bucket": group.column("bucket"), "check": pa.array(signed(check)), "counts": pa.array(found, pa.binary())})
 
-    asked = docs.mapInArrow(ask, "slice long, bucket int, keys binary, counts binary")
+    asked = docs.mapInArrow(frugal(ask), "slice long, bucket int, keys binary, counts binary")
     return asked.groupBy("bucket").applyInArrow(answer, "slice long, bucket int, check long, counts binary")
 
 
@@ -182,7 +182,7 @@ def with_counts(docs: DataFrame, answers: DataFrame, run, schema: str) -> DataFr
             one = pa.array([0, len(ids)], pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, texts)], ["slice", "ids", "texts"])
 
-    texts = docs.mapInArrow(whole, "slice long, ids array<long>, texts array<string>")
+    texts = docs.mapInArrow(frugal(whole), "slice long, ids array<long>, texts array<string>")
     return texts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(run, schema)
 
 

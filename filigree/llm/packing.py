@@ -3,22 +3,25 @@
 A document's ids are cut into whole windows of ``length`` and a remainder. Remainders are
 placed online: among the fill levels that have an open window (and an empty one), the
 document goes where the sum of squared counts of partially filled windows becomes least.
-Counts per level are one array, so a placement is one vector operation. When a partition
-ends, its open windows are closed: the emptiest are cut up to top off the fullest, and the
-last remainder becomes sequences whose lengths are powers of two. Nothing is padded then.
+Counts per level are one array, so a placement is one vector operation.
 
-Each input partition is packed by itself, without a shuffle, in the order it is read; a
-task that is run again gives the same sequences. ``sequence_id`` is the partition's number
-times 2**33 plus a number in it. Memory: one slice of text, the open windows and a bounded
-cache of word ids.
+Each input partition is packed by itself, in the order it is read. Pieces of windows that
+stay open at its end go on to a second placement by the same rule, over the open windows of
+many partitions (``rest_tokens`` tokens a task); only what is open there is closed: the
+emptiest windows are cut up to top off the fullest, and the last remainder becomes sequences
+whose lengths are powers of two. Nothing is padded. ``filled`` says how a sequence came
+about: by one document (whole), by placement, or at the end. A task that is run again gives
+the same sequences; their numbers are made of the task's and a number in it.
 
 Tokenising: the tokenizer's own splitting never crosses ASCII white space, so ids are made
-for white-space separated words and kept in a cache of about ``CACHE`` words. New words
-of plain letters, digits and signs are split into the tokenizer's pretokens, of which there
-are fewer (at most about ``MOST_PRETOKENS`` are kept); the tokenizer encodes new pretokens, and all other words as they are.
+for words, once for each distinct word of a slice, and kept under the word's 64-bit hash.
+New words of plain letters, digits and signs are split into the tokenizer's pretokens, of
+which there are fewer; the tokenizer encodes new pretokens, and all other words as they are.
+Both caches have a bound, drop what is used least, and shrink to WARM entries after a task.
 
 Edge cases: null or empty text is a document of the closing id alone; a null id stays null;
-equal rows are packed apart. Columns other than id and text are not read.
+equal rows are packed apart; a very long text is cut into whole windows as it comes; without
+rows there are no pieces. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,17 +37,45 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.words import ramps, raw, slices
-from filigree.session import ship_package, table
+from filigree.llm.words import Words, frugal, ramps, slices
+from filigree.session import shared_table, ship_package, table
 
-CACHE = 400_000
-MOST_PRETOKENS = 500_000
-_END = b"\n"
-#: Words of these bytes only are split into pretokens here: ASCII but the apostrophe and
-#: the special tokens' bars, and letters of Latin-1 and Latin Extended-A without a mark of
-#: their own (U+0130 is left out: its lower case is two characters).
-_PLAIN = re.compile(rb"(?:[!-&(-{}~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|\xc5[\x80-\xbf])+").fullmatch
-_PIECES = re.compile(r"[a-z\u00df-\u017f]+|[0-9]|[^a-z0-9\u00df-\u017f]+").findall
+#: Bounds of the caches of a worker, and what of them outlives a task.
+CACHE = 500_000
+MOST_PRETOKENS = 250_000
+WARM = 40_000
+#: Pretokens of plain words in lower case, and the newline that ends a word.
+_PIECES = re.compile(r"[a-z\u00df-\u017f]+|[0-9]|\n|[^a-z0-9\u00df-\u017f\n]+").findall
+_BLANK = np.arange(256) == 32
+
+
+def _plain_bytes() -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, and second bytes after 0xC3 to 0xC5, of words that are split into pretokens here.
+
+    ASCII but the apostrophe and what special tokens need, and letters of Latin-1 and Latin
+    Extended-A (without U+0130, whose lower case is two characters).
+    """
+    one = np.zeros(256, bool)
+    one[0x21:0x7F] = True
+    one[[ord("'"), ord("|")]] = False
+    one[0xC3:0xC6] = True
+    two = np.zeros((3, 256), bool)
+    two[:, 0x80:0xC0] = True
+    two[0, [0x97, 0xB7]] = False
+    two[1, 0xB0] = False
+    return one, two
+
+
+_ONE, _TWO = _plain_bytes()
+
+
+def _unplain(data: np.ndarray) -> np.ndarray:
+    """Whether each byte makes its word one for the tokenizer's own splitting."""
+    bad = ~_ONE[data]
+    for lead in range(3):
+        at = np.flatnonzero(data[:-1] == 0xC3 + lead) + 1
+        bad[at] = ~_TWO[lead, data[at]]
+    return bad
 
 
 class _Rows:
@@ -72,6 +103,55 @@ class _Rows:
         return self.flat[np.repeat(self.at[rows], size) + ramps(size)], size
 
 
+class _Cache:
+    """Ids of words or pretokens by 64-bit hash; the least used go when there are too many."""
+
+    def __init__(self, most: int) -> None:
+        self.most = most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.row = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.rows = _Rows()
+        self.used = np.empty(0, np.int64)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Places of the distinct keys that are not held."""
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New keys and their ids, in the same order."""
+        row = np.arange(self.rows.rows, self.rows.rows + len(keys))
+        self.rows.add(ids, sizes)
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys, self.row, self.used = (np.insert(x, at, y) for x, y in ((self.keys, keys[order]), (self.row, row[order]), (self.used, np.zeros(len(keys), np.int64))))
+
+    def place(self, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The rows of distinct keys, all of them held, which were used so many times."""
+        at = np.searchsorted(self.keys, keys)
+        self.used[at] += times
+        return self.row[at]
+
+    def keep(self, most: int) -> None:
+        """Keep the `most` most used keys."""
+        if len(self.keys) <= most:
+            return
+        at = np.sort(np.argpartition(self.used, len(self.used) - most)[len(self.used) - most :])
+        keys, used = self.keys[at], self.used[at] // 2
+        ids, sizes = self.rows.take(self.row[at])
+        self._clear()
+        self.add(keys, ids, sizes)
+        self.used = used
+
+    def room(self, n: int) -> None:
+        """Make room for n more keys."""
+        if len(self.keys) + n > self.most:
+            self.keep(self.most // 2)
+
+
 class WordIds:
     """Token ids of texts by way of bounded caches of words and of pretokens."""
 
@@ -84,74 +164,87 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._reset()
-        self._reset_pieces()
-
-    def _reset(self) -> None:
-        self.number: dict[bytes, int] = {_END: 0}
-        self.rows = _Rows()
-        self.rows.add(np.array([self.closing], np.uint32), np.array([1]))
-
-    def _reset_pieces(self) -> None:
-        self.piece: dict[str, int] = {}
-        self.pieces = _Rows()
+        self.words, self.pieces = _Cache(CACHE), _Cache(MOST_PRETOKENS)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Many pretokens are encoded as one text; each ends with a token of its own kind."""
+        out, size = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for start in range(0, len(pieces), 2000):
             part = pieces[start : start + 2000]
             ids = self._ids(" ".join(part))
             last = np.flatnonzero(self.ends[ids])
             if len(last) == len(part) and last[-1] == len(ids) - 1:
-                self.pieces.add(ids, np.diff(np.r_[-1, last]))
+                size.append(np.diff(np.r_[-1, last]))
             else:
-                for one in part:
-                    own = self._ids(one)
-                    self.pieces.add(own, np.array([len(own)]))
-        self.piece.update(zip(pieces, range(len(self.piece), len(self.piece) + len(pieces))))
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _PLAIN(w) and b"<|" not in w]
-        split = [_PIECES(w.decode().lower()) for w in plain]
-        if len(self.piece) > MOST_PRETOKENS:
-            self._reset_pieces()
-        self._learn_pieces(list({p for own in split for p in own}.difference(self.piece)))
-        ids, size = self.pieces.take(np.fromiter((self.piece[p] for own in split for p in own), np.int64))
-        count = np.fromiter(map(len, split), np.int64, len(split))
-        first = np.cumsum(count) - count
-        self.rows.add(ids, np.add.reduceat(size, first) if len(first) else size)
-        self.number.update(zip(plain, range(len(self.number), len(self.number) + len(plain))))
-        for w in set(words).difference(plain):
-            own = self._ids(w.decode())
-            self.rows.add(own, np.array([len(own)]))
-            self.number[w] = len(self.number)
-
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of each text, with the closing id."""
-        words: list[bytes] = []
-        ends = []
-        for text in texts:
-            words += text.split()
-            words.append(_END)
-            ends.append(len(words))
-        new = set(words).difference(self.number)
-        if len(self.number) + len(new) > CACHE and len(self.number) > 1:
-            self._reset()
-            new = set(words).difference(self.number)
-        if new:
-            self._learn(list(new))
-        ids, size = self.rows.take(np.fromiter(map(self.number.__getitem__, words), np.int64, len(words)))
-        return np.split(ids, np.cumsum(size)[np.array(ends[:-1]) - 1]) if len(texts) > 1 else [ids]
+                own = [self._ids(one) for one in part]
+                ids = np.concatenate(own)
+                size.append(np.array([len(x) for x in own], np.int64))
+            out.append(ids)
+        return np.concatenate(out), np.concatenate(size)
+
+    def _of_plain(self, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, which end with a newline each."""
+        pieces = Words(pa.array([" ".join(_PIECES(words.decode().lower()))], pa.large_string()), space=_BLANK)
+        closes = pieces.data[pieces.starts] == 10
+        part = np.flatnonzero(~closes)
+        own, first, back, times = np.unique(pieces.hashes[part], return_index=True, return_inverse=True, return_counts=True)
+        self.pieces.room(len(own))
+        new = self.pieces.missing(own)
+        ids, size = self._of_pieces([pieces.text(i).decode() for i in part[first[new]].tolist()])
+        self.pieces.add(own[new], ids, size)
+        ids, size = self.pieces.rows.take(self.pieces.place(own, times)[back])
+        last = np.flatnonzero(closes) - np.arange(1, closes.sum() + 1)
+        return ids, np.diff(np.r_[0, np.cumsum(size)[last]])
+
+    def _learn(self, words: Words, at: np.ndarray, keys: np.ndarray) -> None:
+        """Add the words at these places, all different, with these keys."""
+        bad = np.r_[0, np.cumsum(_unplain(words.data))]
+        plain = bad[words.ends[at]] == bad[words.starts[at]]
+        for part in np.array_split(at[plain], -(-int(plain.sum()) // 100_000) or 1):
+            if len(part):
+                size = words.ends[part] - words.starts[part] + 1
+                place = np.repeat(words.starts[part], size) + ramps(size)
+                text = words.data[np.minimum(place, len(words.data) - 1)]
+                text[np.cumsum(size) - 1] = 10
+                ids, count = self._of_plain(text.tobytes())
+                self.words.add(words.hashes[part], ids, count)
+        odd = at[~plain]
+        if len(odd):
+            own = [self._ids(words.text(i).decode()) for i in odd.tolist()]
+            self.words.add(words.hashes[odd], np.concatenate(own), np.array([len(x) for x in own], np.int64))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the closing id, and the offsets of the texts in them."""
+        words = Words(texts)
+        own, first, back, times = np.unique(words.hashes, return_index=True, return_inverse=True, return_counts=True)
+        self.words.room(len(own))
+        new = self.words.missing(own)
+        if len(new):
+            self._learn(words, first[new], own[new])
+        rows = self.words.place(own, times)[back]
+        size = self.words.rows.size[rows]
+        total = np.r_[0, np.cumsum(size)]
+        at = total[words.at] + np.arange(len(words.at))
+        ids = np.full(at[-1], self.closing, np.uint32)
+        held = np.ones(at[-1], bool)
+        held[at[1:] - 1] = False
+        ids[held] = self.words.rows.take(rows)[0]
+        return ids, at
+
+    def forget(self) -> None:
+        """Keep only what is most used, for the next task of this worker."""
+        self.words.keep(WARM)
+        self.pieces.keep(WARM)
 
 
 _KEPT: dict[tuple[int, int], WordIds] = {}
 
 
 def _word_ids(tokenizer_json: str, closing: int) -> WordIds:
-    """The worker's own caches, which outlive a task."""
+    """The worker's tokenizer; of its caches only the most used WARM entries outlive a task."""
     key = (hash(tokenizer_json), closing)
     if key not in _KEPT:
         _KEPT.clear()
@@ -191,11 +284,16 @@ class Packer:
         self.open[at + size].append(window)
         return None
 
-    def close(self) -> list[list]:
-        """What is open becomes full windows and, last, windows of power-of-two lengths."""
+    def windows(self) -> list[list]:
+        """The open windows, the fullest first; none is open then."""
         rest = [w for at in sorted(self.open, reverse=True) for w in self.open[at]]
         self.open.clear()
         self.count[:] = 0
+        return rest
+
+    def close(self) -> list[list]:
+        """What is open becomes full windows and, last, windows of power-of-two lengths."""
+        rest = self.windows()
         out, low = [], len(rest)
         loose: list = []  # pieces of the window that is being cut up, last first
         for i in range(len(rest)):
@@ -239,65 +337,113 @@ def _split(piece: tuple, size: int) -> tuple[tuple, tuple | None]:
     return (doc, start, ids[:size], tokens), (doc, start + size, ids[size:], tokens)
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, filled string"
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "filled", "ids"]
+#: How a sequence was filled: by one document, by placement, or from what was open at the end.
+WHOLE, PLACED, CLOSED = "whole", "placement", "end"
 
 
-def pack(docs: DataFrame, tokenizer_json: str, length: int = 4096, closing: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per piece of a document, with its ids unless with_ids is False.
+class _Out:
+    """Rows of pieces on their way out."""
 
-    Pieces of a sequence lie without gaps from offset 0; those of a document cover it.
-    """
-    if length < 2 or length & (length - 1):
-        raise ValueError("length must be a power of two")
-    spark = docs.sparkSession
-    ship_package(spark)
-    shared = spark.sparkContext.broadcast(tokenizer_json)  # one file of a fixed vocabulary
+    def __init__(self, base: int, with_ids: bool) -> None:
+        self.base, self.with_ids, self.number = base, with_ids, 0
+        self.rows: list[list] = [[] for _ in NAMES]
+
+    def _add(self, *values) -> None:
+        for c, v in zip(self.rows, values):
+            c.append(v)
+
+    def window(self, pieces: list, filled: str) -> None:
+        """A finished sequence."""
+        offset = 0
+        for doc, start, ids, tokens in pieces:
+            self._add(doc, start, len(ids), zlib.crc32(ids.tobytes()), tokens, self.base + self.number, offset, filled, ids.view(np.int32) if self.with_ids else None)
+            offset += len(ids)
+        self.number += 1
+
+    def rest(self, piece: tuple) -> None:
+        """A piece without a sequence so far."""
+        doc, start, ids, tokens = piece
+        self._add(doc, start, len(ids), zlib.crc32(ids.tobytes()), tokens, None, None, None, ids.view(np.int32))
+
+    def take(self) -> pa.RecordBatch:
+        kinds = [pa.int64()] * 7 + [pa.string(), pa.list_(pa.int32())]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(self.rows, kinds)], NAMES)
+        for c in self.rows:
+            c.clear()
+        return batch
+
+
+def _place(docs: DataFrame, tokenizer_json: str, length: int, closing: int, with_ids: bool) -> DataFrame:
+    """The pieces of docs (doc, text); those of windows that stay open have no sequence yet."""
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json)  # one file of a fixed vocabulary
 
     def run(batches):
         words = _word_ids(shared.value, closing)
         packer = Packer(length)
-        base, number = TaskContext.get().partitionId() << 33, 0
-        rows: list[list] = [[] for _ in range(8)]
-
-        def emit(window):
-            nonlocal number
-            offset = 0
-            for doc, start, ids, tokens in window:
-                for c, v in zip(rows, (doc, start, len(ids), zlib.crc32(ids.tobytes()), tokens, base + number, offset, ids if with_ids else None)):
-                    c.append(v)
-                offset += len(ids)
-            number += 1
-
-        def flush():
-            arrays = [pa.array(c, pa.int64()) for c in rows[:7]]
-            if with_ids:
-                arrays.append(pa.array(rows[7], pa.list_(pa.int64())))
-            for c in rows:
-                c.clear()
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: len(arrays)])
-
+        out = _Out(TaskContext.get().partitionId() << 33, with_ids)
         for batch in batches:
             for part in slices(batch, 1, 2 << 20):
-                data, at = raw(part.column(1))
-                data = data.tobytes()
-                docs_ids = part.column(0).to_pylist()
-                for doc, ids in zip(docs_ids, words.encode([data[at[i] : at[i + 1]] for i in range(part.num_rows)])):
-                    ids = ids.astype("<u4")
-                    whole = len(ids) - len(ids) % length
-                    for s in range(0, whole, length):
-                        emit([(doc, s, ids[s : s + length], len(ids))])
-                    if whole < len(ids):
-                        full = packer.put((doc, whole, ids[whole:], len(ids)))
+                flat, at = words.encode(part.column(1))
+                flat = flat.astype("<u4")
+                for doc, a, b in zip(part.column(0).to_pylist(), at.tolist(), at[1:].tolist()):
+                    whole = b - (b - a) % length
+                    for s in range(a, whole, length):
+                        out.window([(doc, s - a, flat[s : s + length], b - a)], WHOLE)
+                    if whole < b:
+                        full = packer.put((doc, whole - a, flat[whole:b].copy(), b - a))
                         if full:
-                            emit(full)
-                    if len(rows[0]) >= 5000:
-                        yield flush()
+                            out.window(full, PLACED)
+                    if len(out.rows[0]) >= 5000:
+                        yield out.take()
+        words.forget()
+        for window in packer.windows():
+            for piece in window:
+                out.rest(piece)
+        yield out.take()
+
+    return docs.mapInArrow(frugal(run), PIECES + ", ids array<int>")
+
+
+def _place_rest(rest: DataFrame, length: int, tasks: int, with_ids: bool) -> DataFrame:
+    """Pieces of open windows, placed again among those of many partitions, then closed."""
+
+    def run(batches):
+        packer = Packer(length)
+        out = _Out(1 << 62 | TaskContext.get().partitionId() << 33, with_ids)
+        for batch in batches:
+            flat = batch.column(3).flatten().to_numpy().astype("<u4")
+            at = np.cumsum(batch.column(4).to_numpy()).tolist()
+            for doc, start, tokens, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), [0, *at], at):
+                full = packer.put((doc, start, flat[a:b], tokens))
+                if full:
+                    out.window(full, PLACED)
+            yield out.take()
         for window in packer.close():
-            emit(window)
-        yield flush()
+            out.window(window, CLOSED)
+        yield out.take()
+
+    by = rest.select("doc_id", "start", "doc_tokens", "ids", "length", "ids_crc32").repartition(tasks, "doc_id", "start", "ids_crc32")
+    by = by.sortWithinPartitions(F.xxhash64("doc_id", "start", "ids_crc32"), "doc_id", "start", "ids_crc32")
+    return by.mapInArrow(frugal(run), PIECES + ", ids array<int>")
+
 
+def pack(docs: DataFrame, tokenizer_json: str, length: int = 4096, closing: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, rest_tokens: int = 1 << 22) -> DataFrame:
+    """One row per piece of a document, with its ids unless with_ids is False.
+
+    Pieces of a sequence lie without gaps from offset 0; those of a document cover it.
+    """
+    if length < 2 or length & (length - 1):
+        raise ValueError("length must be a power of two")
+    ship_package(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, PIECES + (", ids array<long>" if with_ids else ""))
+    first = shared_table(_place(docs, tokenizer_json, length, closing, with_ids), "pieces")
+    rest = first.where("sequence_id is null")
+    open_tokens = rest.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    second = _place_rest(rest, length, max(1, -(-open_tokens // rest_tokens)), with_ids)
+    out = first.where("sequence_id is not null").unionByName(second)
+    return out if with_ids else out.drop("ids")
 
 
 def tokenizer_file(path: str | None = None) -> str:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm.calibrate import Logistic, held_out, training_ids
-from filigree.llm.words import raw, slices
+from filigree.llm.words import frugal, raw, slices
 from filigree.session import ship_package, table
 
 LEVEL = 3
@@ -87,7 +87,7 @@ def _sizes(docs: DataFrame, good: bytes, bad: bytes) -> DataFrame:
                 found = np.array([own.sizes(data[at[i] : at[i + 1]]) for i in range(part.num_rows)], np.int64).reshape(-1, 4)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(found[:, j]) for j in range(4))], ["id", "n", "plain", "good", "bad"])
 
-    return docs.mapInArrow(run, "id long, n long, plain long, good long, bad long")
+    return docs.mapInArrow(frugal(run), "id long, n long, plain long, good long, bad long")
 
 
 def _texts(docs: DataFrame, ids: list[int]) -> DataFrame:
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: tuple[bytes, bytes, Logistic]) -> DataFrame:
             x = np.c_[tuple(batch.column(j).to_numpy() for j in range(1, 5))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve(features(x)) if len(x) else np.empty(0))], ["doc_id", "score"])
 
-    return _sizes(docs, good, bad).mapInArrow(run, SCHEMA)
+    return _sizes(docs, good, bad).mapInArrow(frugal(run), SCHEMA)
 
 
 def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000) -> DataFrame:

@@ -127,22 +127,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """docs, all columns, with every run of overlapping reported spans replaced by `mark`."""
+    """docs, all columns, with every run of overlapping reported spans replaced by `mark`.
+
+    Null and empty texts stay as they are; rows with equal id and text are changed alike; no
+    rows, no result. Columns may have any names and types: they travel as one struct.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     clean = docs.where(~_worth(text))
-    maybe = docs.where(_worth(text))
-    found = _by_document(spans(_keyed(maybe, id_col, text_col), scope)).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), F.col("all").alias("_spans"))
+    maybe = docs.where(_worth(text)).select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.xxhash64(text).alias("key"))
+    found = _by_document(spans(maybe.select("doc", "text", "key"), scope)).select("doc", "key", F.col("all").alias("spans"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(a: Column, x: Column) -> Column:
-        plain = F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))
+        plain = F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int"))
         out = F.when(x["start"] >= a["at"], F.concat(a["out"], plain, F.lit(mark))).otherwise(a["out"])
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), out.alias("out"))
 
-    ends = lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.length(F.col(text_col))))
-    hidden = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.aggregate("_spans", start, step, ends))
-    joined = maybe.join(found, maybe[id_col].cast("long").eqNullSafe(found["_doc"]) & (F.xxhash64(text) == found["_key"]), "left")
-    return clean.unionByName(joined.withColumn(text_col, hidden).select(*docs.columns))
+    ends = lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text")))
+    hidden = F.when(F.col("spans").isNull(), F.col("row").getField(text_col)).otherwise(F.aggregate("spans", start, step, ends))
+    joined = maybe.join(found, maybe["doc"].eqNullSafe(found["doc"]) & (maybe["key"] == found["key"]), "left")
+    return clean.unionByName(joined.select(*(hidden.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns)))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm import bloom
-from filigree.llm.words import WINDOW_BASES, Words, mix, ramps, signed, sliding_min, slices, windows
+from filigree.llm.words import WINDOW_BASES, Words, frugal, mix, ramps, signed, slices, sliding_min, windows
 from filigree.session import shared_table, ship_package, table
 
 
@@ -60,7 +60,7 @@ def repeated_anchors(docs: DataFrame, size: int) -> DataFrame:
                 last = np.r_[first[1:], len(anchor)] - 1 if len(first) else first
                 yield pa.RecordBatch.from_arrays([pa.array(signed(anchor[first])), pa.array(doc[first]), pa.array(doc[last])], ["anchor", "low", "high"])
 
-    counted = docs.select("doc", "text").mapInArrow(run, "anchor long, low long, high long")
+    counted = docs.select("doc", "text").mapInArrow(frugal(run), "anchor long, low long, high long")
     counted = counted.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return counted.where("low < high").select("anchor")
 
@@ -96,7 +96,7 @@ def candidate_windows(docs: DataFrame, size: int, anchors) -> DataFrame:
                     ["h1", "h2", "doc", "key", "at"],
                 )
 
-    return docs.select("doc", "text", "key").mapInArrow(run, "h1 long, h2 int, doc long, key int, at int")
+    return docs.select("doc", "text", "key").mapInArrow(frugal(run), "h1 long, h2 int, doc long, key int, at int")
 
 
 def intervals(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +178,9 @@ def remove_repeats(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text
 
         return run
 
-    untouched = docs.mapInArrow(side(False), SCHEMA)
-    touched = docs.mapInArrow(side(True), docs.schema).join(gone.hint("shuffle_merge"), ["doc", "key"], "left")
-    touched = touched.select("doc", "text", "key", "ats").mapInArrow(_cut(size, with_text), SCHEMA)
+    untouched = docs.mapInArrow(frugal(side(False)), SCHEMA)
+    touched = docs.mapInArrow(frugal(side(True)), docs.schema).join(gone.hint("shuffle_merge"), ["doc", "key"], "left")
+    touched = touched.select("doc", "text", "key", "ats").mapInArrow(frugal(_cut(size, with_text)), SCHEMA)
     return untouched.unionByName(touched)
 
 

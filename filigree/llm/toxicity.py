@@ -1,15 +1,18 @@
 """Toxicity from a lexicon trie met by Levenshtein automata, scored in context.
 
-Learning (bounded sample of labelled texts, held-out rows never, near copies once): for every lower-cased word
+Learning (at most ``sample`` labelled rows, held-out rows never, near copies once,
+written once to the shared folder): for every lower-cased word
 and every word beginning of STEMS characters, Spark counts how many toxic and how many other
 texts hold it. Terms whose toxic share is beyond chance (a Chernoff bound of a binomial
 tail) enter the lexicon: whole words, and stems that stand for inflected forms. The lexicon
-is a trie of at most ``max_terms`` entries.
+is a trie of at most ``max_terms`` entries, those of most evidence (tables here give some
+hundred).
 
 Matching: a word becomes a Levenshtein automaton of distance 1 (0 for short words), whose
-states are walked along the trie, so only live prefixes are visited; stems accept what
-follows them. Misspelled hits weigh less, and spellings that other texts of the sample use
-do not count. Words are matched once per task through a bounded cache.
+states are walked along the trie, so only live prefixes are visited; stems stand for what
+follows them and are met as they are. Misspelled hits weigh less. Spellings that other texts
+of the sample use do not count; a term with NEIGHBOURS of them or more is common language's
+neighbour and met as it is only. Words are matched once per task through a bounded cache.
 
 Context: a hit weighs its evidence, less inside quotation marks or after a reporting word;
 the densest window of WINDOW words tells abuse from mention. A logistic curve over these
@@ -17,7 +20,9 @@ sums makes the score, fitted on the same sample. Scoring is one pass without a s
 
 Edge cases: null and empty texts are scored as having no hits; without toxic and other
 labelled texts every score is the smoothed share of label 1; null ids are scored and not
-held out; of several labels of an id the larger counts. Only id, text and labels are read.
+held out; of several labels of an id the larger counts, and of several texts of a labelled
+id the least is learned from; equal rows are scored alike; very long texts are scored whole.
+Only id, text and labels are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -33,15 +38,16 @@ from pyspark.sql import functions as F
 
 from filigree.llm.calibrate import Logistic, held_out, training_ids
 from filigree.llm.near_dedup import shingle_sets
-from filigree.llm.words import Words, mix, signed, slices
-from filigree.session import ship_package, table
+from filigree.llm.words import Words, frugal, mix, signed, slices
+from filigree.session import shared_table, ship_package, table
 
 WORD = re.compile(r"\w+")
 STEMS = (4, 5, 6, 7)
 WINDOW = 12
 FUZZY_FROM = 5
 FUZZY_WEIGHT = 0.5
-CACHE = 300_000
+CACHE = 150_000
+NEIGHBOURS = 3
 QUOTES = re.compile("[\"“”«»„]")
 #: Reporting words: a hit right after one is a mention.
 REPORTING = frozenset("said says wrote writes called quoted term word phrase dijo escribió dit écrit sagte schrieb wort mot palabra".split())
@@ -78,10 +84,13 @@ class Automaton:
 
 
 class Lexicon:
-    """A trie of words and stems with evidence; words of `exact` are never met misspelled."""
+    """A trie of words and stems with evidence.
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], exact: frozenset[str] = frozenset()) -> None:
-        self.words, self.stems, self.exact = words, stems, exact
+    Words of `exact` are never met misspelled; spellings of `common` are no misspellings.
+    """
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float], exact: frozenset[str] = frozenset(), common: frozenset[str] = frozenset()) -> None:
+        self.words, self.stems, self.exact, self.common = words, stems, exact, common
         self.root: dict = {}
         for kind, terms in (("word", words), ("stem", stems)):
             for term, weight in terms.items():
@@ -105,7 +114,7 @@ class Lexicon:
             if len(word) > n and word[:n] in self.stems and (best is None or self.stems[word[:n]] > best[1]):
                 best = (word[:n], self.stems[word[:n]], 0)
         own = self.halves.get(len(word))
-        if best or own is None or not any((True, word[:k]) in own or (False, word[-k:]) in own for k in self.half_sizes[len(word)]):
+        if best or own is None or word in self.common or not any((True, word[:k]) in own or (False, word[-k:]) in own for k in self.half_sizes[len(word)]):
             return best
         automaton = Automaton(word, 1)
         found = None
@@ -186,14 +195,15 @@ def vector(found: list[tuple]) -> np.ndarray:
     return np.c_[x[:, 5], np.log1p(x[:, 0]), np.log1p(x[:, 1]), np.log1p(x[:, 2]), np.log1p(100 * x[:, 3]), x[:, 4]]
 
 
-def _chosen(docs: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """The rows of a bounded list of ids, with their labels; the list goes to each task."""
+def _labelled(docs: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """(id, y, text) of a bounded list of ids, one row for each, written once."""
     given = docs.sparkSession.createDataFrame(pairs, "id long, y int")
-    return docs.join(F.broadcast(given), "id")
+    rows = docs.join(F.broadcast(given), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return shared_table(rows, "labelled")
 
 
-def distinct_pairs(docs: DataFrame, pairs: list[tuple[int, int]], keys: int = 3) -> list[tuple[int, int]]:
-    """The pairs of texts that are no near copies of one with a smaller id.
+def without_copies(rows: DataFrame, keys: int = 3) -> DataFrame:
+    """The rows (id, y, text) that are no near copies of one with a smaller id.
 
     Copies would make the words of one text look like evidence of many. Two texts count as
     copies if one of `keys` MinHash values over their shingles is the same.
@@ -208,10 +218,10 @@ def distinct_pairs(docs: DataFrame, pairs: list[tuple[int, int]], keys: int = 3)
                 ids = part.column(0).to_numpy()[full]
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, keys)), pa.array(np.repeat(np.arange(keys), len(full))), pa.array(signed(np.concatenate(least)))], ["id", "k", "key"])
 
-    rows = _chosen(docs, pairs).select("id", "text").mapInArrow(run, "id long, k long, key long")
-    copies = rows.groupBy("k", "key").agg(F.min("id").alias("first"), F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
-    gone = {r.id for r in copies.select(F.explode("ids").alias("id"), "first").where("id > first").select("id").distinct().collect()}
-    return [(i, y) for i, y in pairs if i not in gone]
+    values = shared_table(rows.select("id", "text").mapInArrow(frugal(run), "id long, k long, key long"), "label-keys")
+    first = values.groupBy("k", "key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    gone = values.join(first, ["k", "key"]).where("id > first").select("id").distinct()
+    return shared_table(rows.join(gone, "id", "left_anti"), "labelled")
 
 
 def _units(text: str) -> set[str]:
@@ -223,15 +233,15 @@ def term_counts(rows: DataFrame) -> DataFrame:
     """(term, toxic, other): texts of either label that hold a word or, with *, a stem."""
 
     def run(batches):
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, 1, 4 << 20)):
             counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for y, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 counts[y].update(_units(text or ""))
-            # A term that no toxic text of the batch holds is counted too: it may be toxic elsewhere.
+            # A term that no toxic text of the slice holds is counted too: it may be toxic elsewhere.
             terms = list(counts[1].keys() | counts[0].keys())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([counts[y][t] for t in terms], pa.int64()) for y in (1, 0))], ["term", "toxic", "other"])
 
-    return rows.mapInArrow(run, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return rows.mapInArrow(frugal(run), "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
 def learn_lexicon(rows: DataFrame, share: float, max_terms: int, evidence: float = 9.0) -> Lexicon:
@@ -261,20 +271,25 @@ def learn_lexicon(rows: DataFrame, share: float, max_terms: int, evidence: float
     return Lexicon(words, stems)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 30_000, max_terms: int = 5000) -> tuple[Lexicon, Logistic]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = 30_000, max_terms: int = 50_000) -> tuple[Lexicon, Logistic]:
     """A lexicon and a calibration; docs has columns id and text."""
     pairs = training_ids(labels, label, sample)
     y = np.array([v for _, v in pairs], float)
     if not len(y) or y.min() == y.max():
         return Lexicon({}, {}), Logistic().fit(np.zeros((len(y), 6)), y)
-    pairs = distinct_pairs(docs, pairs)
-    y = np.array([v for _, v in pairs], float)
-    rows = _chosen(docs, pairs).select("y", "text")
-    lexicon = learn_lexicon(rows, float(y.mean()), max_terms)
-    # Spellings that other texts of the sample use are no misspellings: a term with such
-    # neighbours is matched as it is only.
-    common = {t for r in _measured(rows, lexicon) if not r.y for t in r.near.split()}
-    lexicon = Lexicon(lexicon.words, lexicon.stems, frozenset(common))
+    rows = without_copies(_labelled(docs, pairs)).select("y", "text")
+    share = rows.agg(F.avg("y")).first()[0]
+    if share in (None, 0.0, 1.0):  # labelled ids without a row, or rows of one class only
+        kept = np.full(rows.count(), share or 0.0)
+        return Lexicon({}, {}), Logistic().fit(np.zeros((len(kept), 6)), kept)
+    lexicon = learn_lexicon(rows, float(share), max_terms)
+    near: dict[str, set[str]] = {}
+    for r in _measured(rows, lexicon):
+        for pair in () if r.y else r.near.split():
+            term, spelling = pair.split("/")
+            near.setdefault(term, set()).add(spelling)
+    exact = frozenset(t for t, own in near.items() if len(own) >= NEIGHBOURS)
+    lexicon = Lexicon(lexicon.words, lexicon.stems, exact, frozenset(x for t, own in near.items() if t not in exact for x in own))
     measured = _measured(rows, lexicon)
     x = vector([r[1:7] for r in measured])
     order = np.lexsort(tuple(x.T))
@@ -282,22 +297,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
 
 def _measured(rows: DataFrame, lexicon: Lexicon) -> list:
-    """For each row of the sample its label, features and the terms it holds misspelled."""
+    """For each row of the sample its label, features and what it holds misspelled (term/spelling)."""
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)  # at most max_terms entries
 
     def run(batches):
         own = Scanner(shared.value)
-        for batch in batches:
-            labels, found, near = batch.column(0).to_pylist(), [], []
-            for text in batch.column(1).to_pylist():
+        for part in (p for batch in batches for p in slices(batch, 1, 4 << 20)):
+            labels, found, near = part.column(0).to_pylist(), [], []
+            for text in part.column(1).to_pylist():
                 found.append(own.features(text or ""))
                 words = set(WORD.findall((text or "").lower())) if found[-1][5] else set()
-                near.append(" ".join(sorted({own.hits[w][0] for w in words if w in own.hits and own.hits[w][2]})))
+                near.append(" ".join(sorted(f"{own.hits[w][0]}/{w}" for w in words if w in own.hits and own.hits[w][2])))
             x = np.array(found, float).reshape(-1, 6)
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), *(pa.array(x[:, k]) for k in range(6)), pa.array(near, pa.string())], ["y", *(f"x{k}" for k in range(6)), "near"])
 
     schema = "y int, " + ", ".join(f"x{k} double" for k in range(6)) + ", near string"
-    return rows.mapInArrow(run, schema).collect()
+    return rows.mapInArrow(frugal(run), schema).collect()
 
 
 def _scores(model: tuple[Lexicon, Logistic], texts: list, own: Scanner) -> np.ndarray:
@@ -313,27 +328,35 @@ def classify(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold
 
     def run(batches):
         own = Scanner(shared.value[0])
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(shared.value, batch.column(1).to_pylist(), own))], ["doc_id", "score"])
+        for part in (p for batch in batches for p in slices(batch, 1, 4 << 20)):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_scores(shared.value, part.column(1).to_pylist(), own))], ["doc_id", "score"])
 
-    out = docs.mapInArrow(run, "doc_id long, score double")
+    out = docs.mapInArrow(frugal(run), "doc_id long, score double")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic", threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", sample: int = 30_000) -> DataFrame:
-    """docs, all columns, without the rows whose score reaches the threshold."""
+    """docs, all columns, without the rows whose score reaches the threshold.
+
+    Edge cases are those of the module: null and empty texts have no hits; equal rows go or
+    stay together; a table without rows gives none; columns may have any names and types.
+    Without labelled rows of both classes nothing can be told apart and all rows stay.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     named = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(fit(named, labels, label, sample))
+    model = fit(named, labels, label, sample)
+    if model[1].w is None:
+        return docs
+    shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches):
         own = Scanner(shared.value[0])
-        for batch in batches:
-            yield batch.filter(pa.array(_scores(shared.value, batch.column(at).to_pylist(), own) < threshold))
+        for part in (p for batch in batches for p in slices(batch, at, 4 << 20)):
+            yield part.filter(pa.array(_scores(shared.value, part.column(at).to_pylist(), own) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,15 +8,15 @@ from running sums, so the cost is a few vector operations per byte or word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 
 U = np.uint64
-CHUNK = 1 << 18
+CHUNK = (1 << 18) - 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: For tokens: every ASCII character that is no letter or digit separates.
@@ -29,7 +29,9 @@ WORD_BASE = 0x9E3779B97F4A7C15
 WINDOW_BASES = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for b in (base, pow(base, -1, 2**64)):
@@ -41,10 +43,35 @@ def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    size = max(1 << 19, 1 << int(n - 1).bit_length()) if n > 1 else 1 << 19
-    up, down = _powers(base, size) if size <= 1 << 21 else _powers.__wrapped__(base, size)
-    return up[:n], down[:n]
+    """base**i and base**-i modulo 2**64 for i < n; tables of up to 2**20 are kept for a task."""
+    held = _POWERS.get(base)
+    if held is None or len(held[0]) < n:
+        held = _powers(base, 1 << max(10, int(n - 1).bit_length()))
+        if len(held[0]) <= 1 << 20:
+            _POWERS[base] = held
+    return held[0][:n], held[1][:n]
+
+
+def release() -> None:
+    """Give back what a task leaves in its worker: tables, Arrow's and the C library's free memory."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run`, a function over batches, that leaves a small worker behind for the next task."""
+
+    def guarded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return guarded
 
 
 def mix(h: np.ndarray) -> np.ndarray:

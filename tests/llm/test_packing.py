@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from filigree.llm.packing import Packer, WordIds, pack, tokenizer_file
@@ -69,15 +70,34 @@ def test_level_is_the_least_sum_of_squares():
         assert int((p.count[1:64] ** 2).sum()) == best
 
 
-def test_word_cache_is_reset(monkeypatch):
+def test_word_caches_are_bounded(monkeypatch):
     import filigree.llm.packing as packing
 
     monkeypatch.setattr(packing, "CACHE", 5)
+    monkeypatch.setattr(packing, "MOST_PRETOKENS", 4)
+    monkeypatch.setattr(packing, "WARM", 2)
     w = WordIds(tokenizer_file(), 2)
-    texts = [b"one two three", b"four five six seven", b"", b"one"]
-    whole = w.tokenizer
+    texts = ["one two three", "four five six seven", "", None, "one", "don't 12ab \u00d7 \u00fcber-\u00dcber <|x|> a|b", "\x7f \u0130I"]
     for t in texts * 2:
-        assert w.encode([t])[0].tolist() == whole.encode(t.decode(), add_special_tokens=False).ids + [2]
+        ids, at = w.encode(pa.array([t, t], pa.string()))
+        want = w.tokenizer.encode(t or "", add_special_tokens=False).ids + [2]
+        assert ids.tolist() == want * 2 and at.tolist() == [0, len(want), 2 * len(want)]
+        assert len(w.words.keys) <= 8
+        w.forget()
+        assert len(w.words.keys) <= 2 and len(w.pieces.keys) <= 2
+
+
+def test_open_windows_are_placed_again(spark):
+    rng = np.random.default_rng(5)
+    docs = [(i % 50 if i % 7 else None, "word " * int(rng.integers(1, 200))) for i in range(2400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
+    rows = pack(df, tokenizer_file(), length=256).collect()
+    assert sum(r.length for r in rows) == sum(len(t.split()) + 1 for _, t in docs)
+    assert all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in rows)
+    share = lambda kind: sum(r.length for r in rows if r.filled == kind) / sum(r.length for r in rows)
+    assert share("placement") > 0.7 and share("end") < 0.3
+    whole = {r.sequence_id for r in rows}
+    assert sum(256 == sum(r.length for r in rows if r.sequence_id == s) for s in whole) >= len(whole) - 8
 
 
 def test_length_must_be_a_power_of_two(spark):
