@@ -7,22 +7,21 @@ runs in Python: a mapInPandas over (doc_id, section) rows, with no shuffle of it
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, groupby, takewhile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from filigree import fixed
 from filigree.config import SETTINGS
 from filigree.session import ship_package
 
-SEPARATORS = ("\n\n", "\n", ". ", " ", "")
-CONTEXT = 280
-_NUMBER = re.compile(r"\$|\b\d[\d,]*(?:\.\d+)?\b")
-_GAP = re.compile(r"\S {2,}\S")
-_PERIOD = re.compile(r"\b(?:19|20)\d{2}\b|three months|six months|year(?:s)? ended|change", re.I)
-_FOOTER = re.compile(r"\bForm\s+10-[KQ]\s*\|\s*\d+\s*$", re.I)
+SEPARATORS, CONTEXT = fixed.SPLIT_AT, fixed.CAPTION_CHARS
+_NUMBER, _GAP, _PERIOD, _FOOTER = map(re.compile, (fixed.TABLE_NUMBER, fixed.TABLE_GAP, fixed.TABLE_PERIOD, fixed.PAGE_FOOTER))
 
 
 class Splitter:
@@ -75,74 +74,58 @@ def is_table_line(line: str) -> bool:
     return bool(line) and len(_NUMBER.findall(line)) >= 3 and len(_GAP.findall(line)) >= 2
 
 
-def _table_heads(rows: list[str]) -> list[str]:
-    heads = []
-    for row in rows[:3]:
-        if _NUMBER.search(row) and not _PERIOD.search(row):
-            break
-        heads.append(row)
-    return heads[:2]
+def spans_that_fit(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Consecutive spans of rows, each as long as `most` characters with line breaks allow.
 
+    A row longer than that is a span of its own. The ends come from running lengths.
+    """
+    upto = [0, *accumulate(n + 1 for n in sizes)]
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, bisect_right(upto, upto[at] + most + 1) - 1)
+        yield at, end
+        at = end
 
-def pack_table(block: str, splitter: Splitter) -> list[str]:
-    """Rows packed whole; each chunk repeats the head rows where they fit."""
-    rows = [r.rstrip() for r in block.splitlines() if r.strip()]
-    heads = _table_heads(rows)
 
-    def chunk(part: list[str]) -> str:
-        whole = heads + part
-        if heads and part[: len(heads)] != heads and len("\n".join(whole)) <= splitter.size + CONTEXT:
-            part = whole
-        return "\n".join(part).strip()
+def pack_table(rows: list[str], splitter: Splitter) -> list[str]:
+    """Spans of whole rows; each but the first has the head rows above it where they fit.
 
+    Head rows are the first two at most, while they hold no number or name a period.
+    """
+    rows = [r.rstrip() for r in rows if r.strip()]
+    heads = list(takewhile(lambda r: not _NUMBER.search(r) or _PERIOD.search(r), rows[:2]))
     out: list[str] = []
-    part: list[str] = []
-    size = 0
-    for row in rows:
-        more = len(row) + bool(part)
-        if part and (len(row) > splitter.size or size + more > splitter.size):
-            out.append(chunk(part))
-            part, size, more = [], 0, len(row)
-        if len(row) > splitter.size:
-            out += [p for p in map(str.strip, splitter.split(row)) if p]
+    for at, end in spans_that_fit([len(r) for r in rows], splitter.size):
+        if len(rows[at]) > splitter.size:
+            out += splitter.split(rows[at])
             continue
-        part.append(row)
-        size += more
-    return out + ([chunk(part)] if part else [])
+        bare = "\n".join(rows[at:end])
+        topped = "\n".join(heads + rows[at:end])
+        out.append(bare if rows[at:end][: len(heads)] == heads or len(topped) > splitter.size + CONTEXT else topped)
+    return [p for p in map(str.strip, out) if p]
 
 
-def _caption(block: str) -> str:
-    """Up to two of the last prose lines, to stand above a table."""
-    kept: list[str] = []
-    for line in [x.strip() for x in block.splitlines() if x.strip()][-5:][::-1]:
-        if is_table_line(line) or _FOOTER.search(line):
-            continue
-        kept.insert(0, line[-CONTEXT:].strip())
-        if len(kept) == 2 or sum(map(len, kept)) >= CONTEXT:
-            break
-    return "\n".join(kept).strip()
+def caption(lines: list[str]) -> str:
+    """What stands above a table: the last prose line, with the one before it if there is room."""
+    tail = [x.strip() for x in lines if x.strip()][-5:]
+    prose = [x[-CONTEXT:].strip() for x in tail if not is_table_line(x) and not _FOOTER.search(x)]
+    return "\n".join(prose[-1:] if prose and len(prose[-1]) >= CONTEXT else prose[-2:])
 
 
 def split_section(text: str, splitter: Splitter) -> list[str]:
-    """Chunks of one section; runs of table lines are packed as tables."""
-    blocks: list[tuple[bool, list[str]]] = []
-    for line in text.splitlines():
-        table = is_table_line(line)
-        if not blocks or blocks[-1][0] != table:
-            blocks.append((table, []))
-        blocks[-1][1].append(line)
+    """Chunks of one section: its lines as runs of table lines and of others, each cut by its own rule."""
+    runs = [(table, list(lines)) for table, lines in groupby(text.splitlines(), is_table_line)]
+    # The caption of a run of table lines is that of the nearest run before it that has one.
+    captions = list(accumulate(("" if table else caption(lines) for table, lines in runs), lambda last, own: own or last))
     out: list[str] = []
-    caption = ""
-    for table, lines in blocks:
-        block = "\n".join(lines)
+    for (table, lines), above in zip(runs, captions):
         if not table:
-            out += [p for p in map(str.strip, splitter.split(block)) if p] if block else []
-            caption = _caption(block) or caption
+            out += splitter.split("\n".join(lines)) if any(lines) else []
             continue
-        for piece in pack_table(block, splitter):
-            topped = f"{caption}\n{piece}"
-            out.append(topped if caption and caption not in piece and len(topped) <= splitter.size + CONTEXT else piece)
-    return [p for p in out if p]
+        for piece in pack_table(lines, splitter):
+            fits = above and above not in piece and len(above) + 1 + len(piece) <= splitter.size + CONTEXT
+            out.append(f"{above}\n{piece}" if fits else piece)
+    return [p for p in map(str.strip, out) if p]
 
 
 def slug(name: Column) -> Column:

@@ -9,12 +9,40 @@ from filigree import fixed
 from filigree.functions.text import squeeze
 
 
-def signals(text: Column) -> Column:
+#: For each signal, pieces of text one of which every match holds in lower case.
+PIECES = {
+    "item_1a_risk_factors": ("risk factors",),
+    "risk_factors_heading": ("risk",),
+    "risk_content": ("risk", "uncertainties", "could adversely affect", "production delays"),
+    "item_7_mda": ("discussion and analysis",),
+    "mda_heading": ("discussion and analysis",),
+    "results_of_operations": ("results of operations",),
+    "liquidity_capital_resources": ("liquidity and capital resources",),
+    "trend_revenue_growth": ("revenue", "sales", "volume", "subscri", "advertising"),
+    "item_3_legal_proceedings": ("legal proceedings",),
+    "part_ii_item_1_legal": ("legal proceedings",),
+    "legal_proceedings_heading": ("legal proceedings",),
+    "legal_content": ("lawsuit", "claim", "litigation", "investigation", "settlement", "product liability", "legal proceedings"),
+    "item_1_business": ("business",),
+    "business_overview": ("business",),
+    "business_model_content": ("business model", "and services", "customer", "member", "warehouse", "served", "service offerings"),
+    "item_8_financial_statements": ("financial statements",),
+    "financial_statement_heading": ("statement", "balance sheet"),
+    "revenue_table": ("revenue", "net sales"),
+    "item_1c_cybersecurity": ("cybersecurity",),
+    "item_7a_market_risk": ("market risk",),
+}
+#: Letters that a pattern takes for a-z and that lower() leaves or changes otherwise.
+ODD_LETTERS = "\u017f\u212a\u0130\u0131"
+
+
+def signals(plain: Column, low: Column, odd: Column) -> Column:
     """Structs (section, signal, confidence, priority, source) of the rules that fit, the best first.
 
-    Rules of equal confidence and priority keep their order.
+    plain: the squeezed text; low: it in lower case; odd: whether it holds ODD_LETTERS. Rules
+    of equal confidence and priority keep their order. A rule's pattern is tried only on
+    texts that hold one of its pieces.
     """
-    plain = squeeze(F.coalesce(text, F.lit("")))
     hits = []
     for order, (section, signal, pattern, confidence, source) in enumerate(fixed.SIGNALS):
         entry = F.struct(
@@ -25,10 +53,20 @@ def signals(text: Column) -> Column:
             F.lit(signal).alias("signal"),
             F.lit(source).alias("source"),
         )
-        hits.append(F.when(plain.rlike("(?iU)" + pattern), entry))
+        may = odd
+        for piece in PIECES[signal]:
+            may = may | low.contains(piece)
+        hits.append(F.when(may & plain.rlike("(?iU)" + pattern), entry))
     return F.sort_array(F.array_compact(F.array(*hits)))
 
 
+def with_signals(chunks: DataFrame) -> DataFrame:
+    """chunks with _hits; the text is squeezed and lowered once for all rules."""
+    df = chunks.withColumn("_plain", squeeze(F.coalesce("text", F.lit(""))))
+    df = df.withColumns({"_low": F.lower("_plain"), "_odd": F.translate("_plain", ODD_LETTERS, "") != F.col("_plain")})
+    return df.withColumn("_hits", signals(F.col("_plain"), F.col("_low"), F.col("_odd"))).drop("_plain", "_low", "_odd")
+
+
 def own_confidence(section: Column) -> Column:
     return F.when(section.isin(*fixed.WEAK_SECTIONS), 0.35).when(section.isin(*fixed.CANONICAL_SECTIONS), 0.82).otherwise(0.55)
 
@@ -40,7 +78,7 @@ def _priority(section: Column) -> Column:
 
 def resolve(chunks: DataFrame) -> DataFrame:
     """chunks (text, section) with the final section, its signals, flags and quality."""
-    df = chunks.withColumn("_hits", signals(F.col("text"))).withColumn("_best", F.get("_hits", F.lit(0)))
+    df = with_signals(chunks).withColumn("_best", F.get("_hits", F.lit(0)))
     before = F.coalesce("section", F.lit(""))
     now = F.when(before == "", "Other").otherwise(before)
     best = F.col("_best.section")

@@ -39,7 +39,7 @@ def is_cross_reference(text: Column, start: Column) -> Column:
     size = F.least(start, F.lit(20))
     words = F.regexp_extract_all(F.substring(text, start - size + 1, size), F.lit("[A-Za-z]+"), F.lit(0))
     last = F.lower(F.get(words, F.size(words) - 1))
-    return F.coalesce(last.isin(fixed.CROSS_REFERENCE.split()), F.lit(False))
+    return F.coalesce(last.isin(*fixed.CROSS_REFERENCE), F.lit(False))
 
 
 def canonical_name(form: Column, item: Column, fallback: Column) -> Column:

@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +37,36 @@ class Corpus:
     embedder: object | None
 
 
-def allowed_chunks(asked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) that meet each question's hard filter, by a broadcast of the questions."""
-    meta = chunks.select("chunk_id", "ticker", "year", "quarter", "form", "fiscal_period")
+FILTERED = ("ticker", "year", "quarter", "form", "fiscal_period")
+
+
+def keep_allowed(asked: DataFrame, chunks: DataFrame):
+    """A function that keeps the hits (query_id, chunk_id, ...) that meet their question's hard filter."""
     cols = asked.select("query_id", "tickers", F.col("years").alias("q_years"), F.col("quarters").alias("q_quarters"), F.col("forms").alias("q_forms"), F.col("fiscal_periods").alias("q_periods"))
     test = Q.hard_filter(F.col("tickers"), F.col("q_years"), F.col("q_quarters"), F.col("q_forms"), F.col("q_periods"))
-    return meta.join(sized(cols), test).select("query_id", "chunk_id")
+
+    def kept(hits: DataFrame) -> DataFrame:
+        return hits.join(sized(cols), "query_id").join(chunks.select("chunk_id", *FILTERED), "chunk_id").where(test).select(*hits.columns)
+
+    return kept
+
+
+def filter_mask(questions: pa.Table, rows: pa.RecordBatch) -> np.ndarray:
+    """The hard filter of every question over rows with the columns FILTERED, as one mask."""
+    own = {c: pd.Series(rows.column(c).to_pylist(), dtype=object) for c in FILTERED}
+    asked = list(zip(*(questions.column(c).to_pylist() for c in ("tickers", "years", "quarters", "forms", "fiscal_periods"))))
+    masks: dict[tuple, np.ndarray] = {}
+    for filters in asked:
+        key = tuple(tuple(x or ()) for x in filters)
+        if key not in masks:
+            tickers, years, quarters, forms, periods = key
+            inside = lambda values, c: own[c].isin(values).to_numpy() if values else np.ones(rows.num_rows, bool)
+            span = inside(years, "year") & inside(quarters, "quarter")
+            if periods:
+                named = inside(periods, "fiscal_period")
+                span = span | named if years and quarters else span & named
+            masks[key] = inside(tickers, "ticker") & inside(forms, "form") & span
+    return np.array([masks[tuple(tuple(x or ()) for x in f)] for f in asked], bool).reshape(len(asked), rows.num_rows)
 
 
 def hybrid_search(asked: DataFrame, corpus: Corpus, s: Settings = SETTINGS) -> tuple[DataFrame | None, DataFrame | None]:
@@ -53,7 +80,6 @@ def hybrid_search(asked: DataFrame, corpus: Corpus, s: Settings = SETTINGS) -> t
     fan = fan.withColumn("sub", F.concat_ws("\x1f", "query_id", "entity"))
     spec = fan.select("sub", F.col("query_id").alias("query"), "group_no", "entity", "per_entity_k", "expanded")
     one = fan.drop("query_id").withColumnRenamed("sub", "query_id")
-    allowed = allowed_chunks(one, corpus.chunks)
     most = max(s.vector_top_k, s.bm25_top_k, s.candidate_pool)
 
     def whole(found: DataFrame, k: int) -> DataFrame:
@@ -63,10 +89,12 @@ def hybrid_search(asked: DataFrame, corpus: Corpus, s: Settings = SETTINGS) -> t
 
     vec = bm = None
     if corpus.vectors is not None and corpus.embedder is not None:
-        asked_vectors = embed(one.select("query_id", F.col("expanded").alias("text")), corpus.embedder)
-        vec = whole(vector_search(corpus.vectors, asked_vectors, most, allowed), s.vector_top_k)
+        filters = ("tickers", "years", "quarters", "forms", "fiscal_periods")
+        asked_vectors = embed(one.select("query_id", F.col("expanded").alias("text"), *filters), corpus.embedder).drop("text")
+        rows = corpus.vectors.select("chunk_id", "embedding").join(corpus.chunks.select("chunk_id", *FILTERED), "chunk_id")
+        vec = whole(vector_search(rows, asked_vectors, most, test=filter_mask), s.vector_top_k)
     if corpus.index is not None:
-        bm = whole(bm25_search(corpus.index, one.select("query_id", F.col("expanded").alias("question")), most, allowed), s.bm25_top_k)
+        bm = whole(bm25_search(corpus.index, one.select("query_id", F.col("expanded").alias("question")), most, keep_allowed(one, corpus.chunks)), s.bm25_top_k)
     return vec, bm
 
 
@@ -106,8 +134,6 @@ def quoting_generator(prompts):
 
 def generate(prompts: DataFrame, generator=quoting_generator) -> DataFrame:
     """One call of generator([(system, user)]) -> [dict] for each prompt."""
-    import pandas as pd
-
     names = [f.split()[0] for f in BODY.split(", ")]
 
     def run(frames):
