@@ -247,27 +247,103 @@ def test_decontamination(spark, edges):
     assert contaminated(df, bench.where("false")).count() == 0 and contaminated(edges.where("false"), bench).count() == 0
 
 
-def test_wand_is_exact():
+@pytest.mark.parametrize("count", [40, 700])
+def test_wand_is_exact(count, monkeypatch):
+    from filigree.llm import decontamination as DC
+
     rng = np.random.default_rng(3)
     vocabulary = [f"t{i}" for i in range(60)]
-    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(3, 12)))) for i in range(40)]
-    index = ItemIndex(items, 0.6)
-    passages = [" ".join(rng.choice(vocabulary, 12)) for _ in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary, rng.integers(3, 12)))) for i in range(count)]
+    passages = [" ".join(rng.choice(vocabulary, 12)) for _ in range(60)] + [""]
     w = Words(pa.array(passages))
-    place, term = index.terms(w.hashes)
-    find = lambda: {(int(p), int(i)) for p, i, _ in zip(*index.search(w.rows()[place], term, len(passages)))}
-    found = [find()]
-    index.few_blocks = False
-    found.append(find())
-    index.tables = [None, None]
-    found.append(find())
+    found, levels = [], []
+    for fan in (64, 4):  # one level or two, and many
+        monkeypatch.setattr(DC, "FAN", fan)
+        index = ItemIndex(items, 0.6)
+        place, term = index.terms(w.hashes)
+        found.append({(int(p), int(index.item[i]), round(float(x), 9)) for p, i, x in zip(*index.search(w.rows()[place], term, len(passages)))})
+        levels.append(len(index.levels))
+    assert levels[0] == (1 if count == 40 else 2) and levels[1] > levels[0]
+    # By the formula, over Python's own words.
+    texts = [t.split() for _, t in items]
+    df = Counter(x for t in texts for x in set(t))
+    mean = sum(map(len, texts)) / len(texts)
     want = set()
-    for p in range(len(passages)):
-        own = set(w.hashes[w.at[p] : w.at[p + 1]].tolist())
-        for i in range(index.n):
-            mine = index.posting_item == i
-            inverse = index.vocabulary[np.argsort(index.rank)]
-            total = sum(x for t, x in zip(index.posting_term[mine], index.impact[mine]) if int(inverse[t]) in own)
-            if total >= 0.6 - 1e-9:
-                want.add((p, i))
-    assert want and all(x == want for x in found)
+    for k, t in enumerate(texts):
+        impact = {x: math.log(1 + (count - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(t) / mean)) for x, c in Counter(t).items()}
+        for p, passage in enumerate(passages):
+            score = sum(impact[x] for x in set(passage.split()) & impact.keys()) / sum(impact.values())
+            if score >= 0.6 - 1e-9:
+                want.add((p, k, round(score, 9)))
+    assert want and found[0] == found[1] == want
+
+
+def brute_contaminated(docs, items, threshold=0.6, question=0.5, answer=0.5, longest=256):
+    """The whole of `contaminated` in plain Python, for one shard."""
+    token = lambda t: re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
+    grams = lambda x: {tuple(x[i : i + min(3, len(x))]) for i in range(len(x) - min(3, len(x)) + 1)} if x else set()
+    parts = []
+    for number, (item, text) in enumerate(items):
+        ends = [m.end() for m in re.finditer(r"[.?!\n]+\s*(?=\S)", text or "")]
+        cut = ends[-1] if ends else 0
+        head, tail = token((text or "")[:cut]), token((text or "")[cut:])
+        if not head:
+            third = len(tail) // 3
+            head, tail = tail[: len(tail) - third], tail[len(tail) - third :]
+        whole, start = head + tail, 0
+        for own in np.array_split(np.arange(len(whole)), -(-len(whole) // longest)) if whole else ():
+            mine = [whole[i] for i in own]
+            at = min(max(len(head) - start, 0), len(mine))
+            parts.append((number, mine, grams(mine[:at]), grams(mine[at:])))
+            start += len(mine)
+    width = max((len(p[1]) for p in parts), default=1)
+    mean = sum(len(p[1]) for p in parts) / max(len(parts), 1)
+    df = Counter(x for p in parts for x in set(p[1]))
+    out = []
+    for doc, text in docs:
+        words_ = token(text)
+        best = {}
+        for i in range(max(-(-len(words_) // width) - 1, 1) if words_ else 0):
+            passage = words_[i * width : i * width + 2 * width]
+            held = set(passage)
+            runs = {k: {tuple(passage[j : j + k]) for j in range(len(passage) - k + 1)} for k in (1, 2, 3)}
+            for k, (number, mine, ask, reply) in enumerate(parts):
+                impact = {x: math.log(1 + (len(parts) - df[x] + 0.5) / (df[x] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(mine) / mean)) for x, c in Counter(mine).items()}
+                score = sum(impact[x] for x in held & impact.keys()) / sum(impact.values())
+                if score >= threshold - 1e-9:
+                    q, a = (sum(g in runs[len(g)] for g in own) for own in (ask, reply))
+                    worse = min(q / len(ask), a / len(reply)) if ask and reply else q + a
+                    best[k] = max(best.get(k, (-1, 0, 0, 0)), (worse, q, a, score))
+        for number in sorted({parts[k][0] for k in best}):
+            mine = [k for k in range(len(parts)) if parts[k][0] == number]
+            sizes = [sum(len(parts[k][j]) for k in mine) for j in (1, 2, 3)]
+            q = sum(best[k][1] for k in mine if k in best) / sizes[1] if sizes[1] else 1.0
+            a = sum(best[k][2] for k in mine if k in best) / sizes[2] if sizes[2] else 1.0
+            score = sum(best[k][3] * len(parts[k][1]) for k in mine if k in best) / sizes[0]
+            least = (1.0, 1.0) if sizes[0] < 5 else (question, answer)
+            if score >= threshold - 1e-9 and q >= least[0] and a >= least[1]:
+                out.append((doc, items[number][0], round(score, 6), round(q, 6), round(a, 6)))
+    return out
+
+
+def test_decontamination_by_brute_force(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(150)]
+    draw = lambda n: " ".join(rng.choice(vocabulary, n))
+    long_item = draw(257) + "? " + draw(40)
+    items = [(i, f"{draw(int(rng.integers(4, 30)))}? {draw(int(rng.integers(1, 8)))}") for i in range(30)]
+    items += [(100, long_item), (101, "w1 w2"), (102, None), (103, ""), (104, items[0][1]), (105, draw(9)), (106, draw(258))]
+    docs = [(0, None), (1, ""), (2, draw(700)), (3, draw(30) + " " + long_item), (4, " ".join(long_item.split()[:150])), (5, "w1 w2 " + draw(10)), (None, items[3][1])]
+    for i in range(40):
+        own = items[i % 30][1].split()
+        for j in rng.integers(0, len(own), int(rng.integers(0, max(1, len(own) // 3)))):
+            own[j] = "other"
+        docs.append((10 + i, draw(int(rng.integers(0, 90))) + "\n" + " ".join(own).upper() + "! " + draw(int(rng.integers(0, 90)))))
+    docs += [docs[-1], docs[-2]]
+    want = brute_contaminated(docs, items)
+    df = spark.createDataFrame([(*d, "x", "y", "z") for d in docs], "doc_id long, text string, score string, item_id string, doc string").repartition(3)
+    bench = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, id string")
+    got = [(r.doc_id, r.item_id, round(r.score, 6), round(r.question_overlap, 6), round(r.answer_overlap, 6)) for r in contaminated(df, bench).collect()]
+    assert sorted(map(key, got)) == sorted(map(key, want)) and len({w[1] for w in want}) > 12
+    gone = {w[0] for w in want}
+    assert sorted(map(key, [(r.doc_id,) for r in drop_contaminated(df, bench).collect()])) == sorted(key((d,)) for d, _ in docs if d not in gone)
