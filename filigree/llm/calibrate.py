@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filigree.session import shared_table
+
 
 def held_out(id_col: str = "doc_id", mod: int = 5) -> Column:
     """Whether crc32 of the id as text leaves remainder 0."""
@@ -30,6 +32,13 @@ def training_ids(labels: DataFrame, label: str, most: int, id_col: str = "doc_id
     return [(r.id, r.y) for r in rows]
 
 
+def labelled(docs: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
+    """(id, y, text) of a bounded list of ids, one row for each (the least text), written once."""
+    given = docs.sparkSession.createDataFrame(pairs, "id long, y int")
+    rows = docs.join(F.broadcast(given), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
+    return shared_table(rows, "labelled")
+
+
 class Logistic:
     """Ridge-penalised logistic regression on standardised features."""
 

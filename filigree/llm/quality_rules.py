@@ -1,29 +1,36 @@
 """Quality rules as a short-circuit cascade, in DataFrame expressions only.
 
-Each rule is a predicate that rejects a document and an estimate of the work it takes. On a
-bounded sample (``sample`` rows) every rule is evaluated by itself; rules are then ordered
-by rejections per unit of work and become one CASE expression, which stops at the first
-rule that rejects. The order changes how much is computed and which rule is named, never
-whether a document is kept. Work is estimated in characters touched times a weight, so the
-same data always give the same order.
+Each rule is a predicate that rejects a document. Cost and selectivity of each are measured
+on a sample of about ``sample`` rows, drawn over all partitions and written once: the time
+of a job that evaluates this rule alone (the second of two, less the time of a job without
+a rule) and its rejections. Rules are then ordered by rejections per second and become one
+CASE expression, which stops at the first rule that rejects, so later rules are not
+evaluated. The order changes how much is computed and which rule is named, never whether a
+document is kept.
+
+``filter_documents`` evaluates rules on texts. ``judge`` returns base counts of every row in
+any case; its cascade runs on these columns, and its rules are measured as they run there:
+what is left to compute from the text is computed only for rows that get so far.
 
 One pass over the documents without a shuffle; a document's windows are compared within its
 row, by 64-bit hashes.
 
 Edge cases: null text has no words, lines or symbols and fails the base rules; a null id
-stays null; equal rows are judged alike. Columns other than id and text are not read by the
-query; ``filter_documents`` keeps all columns, whatever their names.
+stays null; equal rows are judged alike; very long texts are judged whole; no rows, no
+result. Columns other than id and text are not read by the query; ``filter_documents`` keeps
+all columns, whatever their names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from time import perf_counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filigree.llm.native import WHITE, count_of, let, without, words_of
-from filigree.session import table
+from filigree.session import shared_table, table
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -46,8 +53,8 @@ def repeated_words(words: Column, size: int = 3) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(F.sort_array(marked), of_sorted))
 
     def of_words(w: Column) -> Column:
-        window = lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))
-        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - size), window)
+        window = lambda x, i: F.xxhash64(x, *(F.get(w, i + k) for k in range(1, size)))
+        hashes = F.slice(F.transform(w, window), 1, F.size(w) - (size - 1))
         return F.when(F.size(w) < size, F.lit(0)).otherwise(let(hashes, of_hashes))
 
     return let(words, of_words)
@@ -55,45 +62,68 @@ def repeated_words(words: Column, size: int = 3) -> Column:
 
 def filled_lines(text: Column) -> Column:
     """The lines that hold a word."""
-    return F.filter(F.split(text, "\n"), lambda line: without(line, WHITE) != "")
-
-
-def duplicate_lines(text: Column) -> Column:
-    return let(filled_lines(text), lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
+    return F.filter(F.split(text, "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != "")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A named predicate over a text that rejects it, and its work for that text."""
+    """A named predicate that rejects a document."""
 
     name: str
     rejects: Column
-    work: Column
 
 
 def rules(text: Column) -> list[Rule]:
-    """The default rules; thresholds are ratios, so they hold at any length."""
+    """The default rules over a text; thresholds are ratios, so they hold at any length."""
     t = F.coalesce(text, F.lit(""))
-    n, chars, size = F.size(words_of(t)), F.length(without(t, WHITE)), F.length(t) + 1
+    n, chars = F.size(words_of(t)), F.length(without(t, WHITE))
+    return [
+        Rule("too_short", n < 50),
+        Rule("repetition", let(words_of(t), lambda w: 100 * repeated_words(w) > 50 * F.size(w))),
+        Rule("symbols", 10 * count_of(t, SYMBOLS) > chars),
+        Rule("shouting", 2 * count_of(t, CAPITALS) > chars),
+        Rule("word_length", (chars > 15 * n) | (chars < 2 * n)),
+        Rule("duplicate_lines", let(filled_lines(t), lambda l: 2 * (F.size(l) - F.size(F.array_distinct(l))) > F.size(l))),
+    ]
+
+
+def counted_rules() -> list[Rule]:
+    """The same rules over the columns of `counted`; only capitals are still to be counted."""
+    n, chars = F.col("n_words"), F.col("word_chars")
     return [
-        Rule("too_short", n < 50, 2 * size),
-        Rule("repetition", 100 * repeated_words(words_of(t)) > 50 * n, 40 * size),
-        Rule("symbols", 10 * count_of(t, SYMBOLS) > chars, 2 * size),
-        Rule("shouting", 2 * count_of(t, CAPITALS) > chars, 2 * size),
-        Rule("word_length", (chars > 15 * n) | (chars < 2 * n), 3 * size),
-        Rule("duplicate_lines", let(filled_lines(t), lambda l: 2 * (F.size(l) - F.size(F.array_distinct(l))) > F.size(l)), 3 * size),
+        Rule("too_short", n < 50),
+        Rule("repetition", 100 * F.col("n_repeat_words") > 50 * n),
+        Rule("symbols", 10 * F.col("n_symbols") > chars),
+        Rule("shouting", 2 * count_of(F.col("text"), CAPITALS) > chars),
+        Rule("word_length", (chars > 15 * n) | (chars < 2 * n)),
+        Rule("duplicate_lines", 2 * F.col("n_dup_lines") > F.col("n_lines")),
     ]
 
 
-def ordered(docs: DataFrame, given: list[Rule], sample: int = 1000) -> list[Rule]:
-    """Rules by rejections per work on at most `sample` rows, the best first."""
-    if not given:
-        return []
-    aggregates = []
-    for k, r in enumerate(given):
-        aggregates += [F.count_if(r.rejects).alias(f"r{k}"), F.sum(r.work.cast("double")).alias(f"w{k}")]
-    found = docs.limit(sample).agg(*aggregates).first()
-    return [given[k] for k in sorted(range(len(given)), key=lambda k: (-(found[f"r{k}"] or 0) / (found[f"w{k}"] or 1.0), k))]
+def drawn(docs: DataFrame, sample: int) -> DataFrame:
+    """About `sample` rows of docs from all its partitions, written once."""
+    share = min(1.0, sample / max(docs.count(), 1))
+    return shared_table(docs.sample(share, 7) if share < 1 else docs, "rule-sample")
+
+
+def measured(rows: DataFrame, given: list[Rule]) -> list[tuple[float, int]]:
+    """For each rule the seconds that it takes on a small table, and how many rows it rejects."""
+
+    def timed(column: Column) -> tuple[float, int]:
+        job = rows.agg(F.count_if(column).alias("n"))
+        job.first()  # compiles
+        began = perf_counter()
+        n = job.first().n
+        return perf_counter() - began, n
+
+    idle = timed(F.lit(False))[0]
+    return [(max(seconds - idle, 1e-4), n) for seconds, n in (timed(r.rejects) for r in given)]
+
+
+def ordered(rows: DataFrame, given: list[Rule]) -> list[Rule]:
+    """Rules by rejections per second on the rows of a sample, the best first."""
+    found = measured(rows, given)
+    return [given[k] for k in sorted(range(len(given)), key=lambda k: (-found[k][1] / found[k][0], found[k][0]))]
 
 
 def cascade(given: list[Rule]) -> Column:
@@ -106,33 +136,35 @@ def cascade(given: list[Rule]) -> Column:
 
 def filter_documents(docs: DataFrame, text_col: str = "text", sample: int = 1000) -> DataFrame:
     """docs, all columns, without the rows that a rule rejects."""
-    return docs.where(cascade(ordered(docs, rules(docs[text_col]), sample)).isNull())
+    texts = drawn(docs.select(F.col(text_col).cast("string").alias("text")), sample)
+    order = [r.name for r in ordered(texts, rules(F.col("text")))]
+    own = {r.name: r for r in rules(F.col(text_col).cast("string"))}
+    return docs.where(cascade([own[name] for name in order]).isNull())
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000) -> DataFrame:
-    """Base counts of each text, base_failed, kept, and rejected_by (null: kept)."""
+def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and the counts of each text. Words and lines are cut once a row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
-    counted = docs.select(
+    cut = docs.select("doc_id", "text", words_of(F.col("text")).alias("words"), filled_lines(F.col("text")).alias("lines"))
+    return cut.select(
         "doc_id",
         "text",
-        F.size(words_of(text)).cast("long").alias("n_words"),
-        F.length(without(text, WHITE)).cast("long").alias("word_chars"),
-        count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
-        duplicate_lines(text).cast("long").alias("n_dup_lines"),
-        repeated_words(words_of(text)).cast("long").alias("n_repeat_words"),
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        count_of(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        F.size("lines").alias("n_lines"),
     )
-    known = [
-        Rule("too_short", F.col("n_words") < 50, F.length("text")),
-        Rule("repetition", 100 * F.col("n_repeat_words") > 50 * F.col("n_words"), F.length("text")),
-        Rule("symbols", 10 * F.col("n_symbols") > F.col("word_chars"), F.length("text")),
-    ]
-    base = (known[0].rejects) | (known[1].rejects)
-    rest = {r.name: r for r in rules(text)} | {r.name: r for r in known}
-    order = [rest[r.name] for r in ordered(docs, rules(text), sample)]
-    out = counted.withColumn("base_failed", base)
-    out = out.withColumn("rejected_by", cascade(order))
-    return out.withColumn("kept", F.col("rejected_by").isNull()).drop("text")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 1000) -> DataFrame:
+    """Base counts of each text, base_failed, kept, and rejected_by (null: kept)."""
+    rows = drawn(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), sample)
+    order = ordered(shared_table(counted(rows), "rule-sample"), counted_rules())
+    base = [r.rejects for r in counted_rules() if r.name in ("too_short", "repetition")]
+    out = counted(docs, id_col, text_col).withColumns({"base_failed": base[0] | base[1], "rejected_by": cascade(order)})
+    return out.withColumn("kept", F.col("rejected_by").isNull()).drop("text", "n_lines")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filigree.llm.calibrate import Logistic, held_out, training_ids
+from filigree.llm.calibrate import Logistic, held_out, labelled, training_ids
 from filigree.llm.near_dedup import shingle_sets
 from filigree.llm.words import Words, frugal, mix, signed, slices
 from filigree.session import shared_table, ship_package, table
@@ -195,13 +195,6 @@ def vector(found: list[tuple]) -> np.ndarray:
     return np.c_[x[:, 5], np.log1p(x[:, 0]), np.log1p(x[:, 1]), np.log1p(x[:, 2]), np.log1p(100 * x[:, 3]), x[:, 4]]
 
 
-def _labelled(docs: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """(id, y, text) of a bounded list of ids, one row for each, written once."""
-    given = docs.sparkSession.createDataFrame(pairs, "id long, y int")
-    rows = docs.join(F.broadcast(given), "id").groupBy("id", "y").agg(F.min("text").alias("text"))
-    return shared_table(rows, "labelled")
-
-
 def without_copies(rows: DataFrame, keys: int = 3) -> DataFrame:
     """The rows (id, y, text) that are no near copies of one with a smaller id.
 
@@ -277,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     y = np.array([v for _, v in pairs], float)
     if not len(y) or y.min() == y.max():
         return Lexicon({}, {}), Logistic().fit(np.zeros((len(y), 6)), y)
-    rows = without_copies(_labelled(docs, pairs)).select("y", "text")
+    rows = without_copies(labelled(docs, pairs)).select("y", "text")
     share = rows.agg(F.avg("y")).first()[0]
     if share in (None, 0.0, 1.0):  # labelled ids without a row, or rows of one class only
         kept = np.full(rows.count(), share or 0.0)

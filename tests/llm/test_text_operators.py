@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from edge_cases import edge_rows
+from pyspark.sql import functions as F
 
 from filigree.llm import bloom
 from filigree.llm.components import connected_components
@@ -17,7 +18,8 @@ from filigree.llm.decontamination import ItemIndex, contaminated, drop_contamina
 from filigree.llm import lm_scoring as LM
 from filigree.llm.lm_scoring import score as lm_score
 from filigree.llm.near_dedup import drop_near_duplicates, near_duplicates
-from filigree.llm.quality_rules import cascade, filter_documents, judge, ordered, rules
+from filigree.llm import quality_rules as QR
+from filigree.llm.quality_rules import cascade, drawn, filter_documents, judge, ordered, rules
 from filigree.llm.secret_scan import PATTERNS, redact, scan
 from filigree.llm.substring_dedup import intervals, remove_repeats
 from filigree.llm.words import Words, windows
@@ -151,7 +153,7 @@ def brute_rules(text):
     return len(w), chars, symbols, dups, len(covered), failed, not bad
 
 
-def test_quality_rules(spark, edges):
+def test_quality_rules(spark, edges, monkeypatch):
     more = ["a b c a b c d " * 3, "x y\nx y\n \nz\nx y", "# | " * 60, "LOUD WORDS " * 60, "same line here\n" * 40, "one two three four " * 20]
     rows = edge_rows() + [(200 + i, t) for i, t in enumerate(more)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -160,56 +162,92 @@ def test_quality_rules(spark, edges):
     assert filter_documents(edges).columns == edges.columns and filter_documents(edges).count() == sum(brute_rules(t)[-1] for _, t in edge_rows())
     order = ordered(docs, rules(docs.text))
     assert len(order) == len(rules(docs.text)) and docs.where(cascade(list(reversed(order))).isNull()).count() == sum(brute_rules(t)[-1] for _, t in rows)
+    # The order follows what is measured: rejections per second.
+    with monkeypatch.context() as m:
+        m.setattr(QR, "measured", lambda rows, given: [(1.0, 3), (1.0, 9), (0.1, 2)])
+        assert [r.name for r in ordered(docs, rules(docs.text)[:3])] == ["symbols", "repetition", "too_short"]
+    # A rule after one that rejects is not evaluated.
+    fails = F.raise_error(F.lit("evaluated")).isNull()
+    assert docs.select(cascade([QR.Rule("all", F.lit(True)), QR.Rule("never", fails)]).alias("r")).distinct().collect() == [("all",)]
+    assert drawn(spark.range(100_000), 1000).count() < 1500
     assert judge(edges.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("head", [1 << 20, 5])
-def test_lm_scoring(edges, head):
+@pytest.mark.parametrize("shard", [LM.SHARD, 2000])
+def test_lm_scoring(edges, shard, monkeypatch):
+    monkeypatch.setattr(LM, "SHARD", shard)
     rows = edge_rows()
     tokens = [[w.translate(LOWER) for w in words(t)] + ["\n"] for _, t in rows]
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
     c = Counter(w for own, h in zip(tokens, held) if not h for w in own)
     n, z = sum(c.values()), sum(c.values()) + len(c) + 1
     want = sorted(key((d, h, len(own), sum(c[w] > 0 for w in own), n)) + (sum(math.log10((c[w] + 1) / z) for w in own),) for (d, _), h, own in zip(rows, held, tokens))
-    got = sorted(key(r[:5]) + (r.base_score,) for r in lm_score(edges, head=head).collect())
+    got = sorted(key(r[:5]) + (r.base_score,) for r in lm_score(edges).collect())
     assert [g[:-1] for g in got] == [w[:-1] for w in want]
     assert np.allclose([g[-1] for g in got], [w[-1] for w in want])
 
 
-def test_lm_score_counts_every_pair(spark):
-    """`score` by brute force over exact counts, once-seen pairs among them."""
-    rows = [(i, t) for i, (_, t) in enumerate(edge_rows())] + [(None, "one river river"), (None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+def brute_lm(rows, stored=lambda c: c):
+    """Scores by the formula over exact counts, or over what a function makes of them."""
     held = [d is not None and zlib.crc32(str(d).encode()) % 7 == 2 for d, _ in rows]
-    pairs = [[(a, b) for own in [["<s>", *(w.translate(LOWER) for w in words(t)), "\n"]] for a, b in zip(own, own[1:])] for _, t in rows]
-    two = Counter(p for own, h in zip(pairs, held) if not h for p in own)
-    left, right = Counter(), Counter()
-    for (a, b), k in two.items():
-        left[a] += k
-        right[b] += k
-    z = sum(right.values()) + len(right) + 1
-
-    def parts(p, less=0):
-        seen = max(left[p[0]] - less, 0)
-        return (max(right[p[1]] - less, 0) + 1) / z, max(two[p] - less, 0) / max(seen, 1), seen.bit_length()
-
-    sums = {}
-    for p, k in two.items():
-        single, share, kind = parts(p, 1)
-        for w in LM.GRID:
-            sums.setdefault(kind, Counter())[w] += k * math.log10((1 - w) * single + w * share)
-    best = {kind: max(own, key=own.get) for kind, own in sums.items()}
-
-    def log(p):
-        single, share, kind = parts(p)
-        w = best.get(kind, LM.GRID[0])
-        return math.log10((1 - w) * single + w * share)
-
-    assert sum(k == 1 for k in two.values()) > len(two) / 2
-    want = sorted(key((d, len(own))) + (sum(map(log, own)),) for (d, _), own in zip(rows, pairs))
-    got = sorted(key((r.doc_id, r.n_tokens)) + (r.score,) for r in lm_score(docs).collect())
+    one, two, three, begins = Counter(), Counter(), Counter(), 0
+    own = [[None, None, *(w.translate(LOWER) for w in words(t)), "\n"] for _, t in rows]
+    for w, h in zip(own, held):
+        if not h:
+            begins += 1
+            one.update(w[2:])
+            two.update(zip(w[1:], w[2:]))
+            three.update(zip(w, w[1:], w[2:]))
+    z = sum(one.values()) + len(one) + 1
+    out = []
+    for (d, _), w in zip(rows, own):
+        total = 0.0
+        for u, v, x in zip(w, w[1:], w[2:]):
+            p1 = (one[x] + 1) / z
+            p2 = (stored(two[v, x]) + LM.PAIR * p1) / ((begins if v is None else one[v]) + LM.PAIR)
+            history = begins if v is None else stored(two[u, v])
+            total += math.log10((min(stored(three[u, v, x]), history) + LM.TRIPLE * p2) / (history + LM.TRIPLE))
+        out.append((d, len(w) - 2, total))
+    return out
+
+
+def test_lm_score_by_brute_force(spark):
+    """`score` over every n-gram, once-seen ones among them, with the counts' levels."""
+    rows = [(i, t) for i, (_, t) in enumerate(edge_rows())] + [(None, "one river river"), (None, None), (70, "a b c " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(3)
+    level = lambda c: float(LM.middles()[LM.levels(np.array([c]))[0]])
+    assert [level(c) for c in (0, 1, 2, 3)] == [0, 1, 2, 3] and all(abs(level(c) - c) <= 0.26 * c for c in range(1, 5000))
+    want = sorted(key(r[:2]) + (r[2],) for r in brute_lm(rows, level))
+    got = sorted(key((r.doc_id, r.n_tokens)) + (r.score,) for r in lm_score(docs, bits=60).collect())
     assert [g[:-1] for g in got] == [w[:-1] for w in want]
     assert np.allclose([g[-1] for g in got], [w[-1] for w in want])
+    # With the default size of the filter, and against exact counts.
+    loose = sorted(key((r.doc_id, r.n_tokens)) + (r.score,) for r in lm_score(docs).collect())
+    exact = sorted(key(r[:2]) + (r[2],) for r in brute_lm(rows))
+    assert max(abs(g[-1] - w[-1]) / w[1][1] for g, w in zip(loose, exact)) < 0.05
+
+
+def test_log_frequency_filter():
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
+    count = (rng.pareto(1.0, len(keys)) + 1).astype(np.int64)
+    level = LM.levels(count)
+    f = LM.LogFrequencyFilter(keys, level)
+    found = f.level(keys)
+    assert (found >= level).all() and (found > level).mean() < 0.01
+    assert (f.level(rng.integers(0, 2**63, 20_000, dtype=np.uint64)) > 0).mean() < 0.005
+    packed = LM.Dealt(keys, 3, True)
+    for _, a, b in packed.runs():
+        assert (LM.unpacked(packed.packed(a, b), b - a) == packed.own[a:b]).all()
+
+
+def test_lm_score_tells_twice_seen_from_once_seen(spark):
+    rng = np.random.default_rng(4)
+    free = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 500, 60)) for _ in free[:200]]
+    rows = list(zip(free, texts)) + [(free[200 + k], texts[k]) for k in range(20)]
+    got = {r.doc_id: r.score for r in lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[free[k]] for k in range(20)) > max(got[free[k]] for k in range(20, 200))
 
 
 def test_lm_score_tells_once_seen_from_unseen(spark):
