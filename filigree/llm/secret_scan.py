@@ -3,20 +3,23 @@
 Strong kinds are reported wherever they match: assignments of secrets (assign), access
 identifiers (access) and long hexadecimal runs (hex). Weak kinds are candidates: logins,
 opaque mixed runs and service endpoints. A candidate is reported only when the parts that
-complete it lie in its scope, i.e. start within ``scope`` code points: a login needs a
-secret, an opaque run needs an identifier, an endpoint needs both.
+complete it lie in its scope: a login needs a secret, an opaque run needs an identifier, an
+endpoint needs both. A scope is the block of a text that blank lines bound (a section of a
+configuration, a group of lines), within it what starts at most ``scope`` code points away.
 
 Positions: between matches a text is split by the same pattern, so a match starts after the
-pieces and matches before it; these are running sums over the matches of one document. The
-interval join of a candidate with its parts uses the nearest part of each class on either
-side, found by running windows: linear in the matches, no pairs.
+pieces and matches before it, and its block's number is how many runs of blank lines they
+hold; both are running sums over the matches of one document. The interval join of a
+candidate with its parts uses the nearest part of each class on either side in its block,
+found by running windows: linear in the matches, no pairs.
 
 Only matches are shuffled, by document and text hash; texts are not, and documents without
 a match leave the plan at the scan.
 
 Edge cases: null text is empty and has no spans; a null id stays null; equal rows each get
 the spans of their text; matches that fail their minimum length still consume their
-characters. Columns other than id and text are not read by ``scan``; ``redact`` keeps all.
+characters; very long texts are scanned whole; no rows, no result. Columns other than id and
+text are not read by ``scan``, whatever their names; ``redact`` keeps all.
 """
 
 from __future__ import annotations
@@ -37,6 +40,8 @@ PATTERNS = {
     "endpoint": r"(?:https?|ftp|ssh|postgresql|postgres|mysql|mongodb|redis|amqp)://[A-Za-z0-9._:@-]+",
 }
 SCOPE = 400
+#: What bounds a block: a line end and one or more blank lines. No match holds a line end.
+BLANK_LINES = r"\n(?:[ \t\r]*\n)+"
 
 
 def _worth(text: Column) -> Column:
@@ -46,13 +51,13 @@ def _worth(text: Column) -> Column:
 
 
 def _matches(text: Column) -> Column:
-    """An array of (kind number, number in its kind, characters before it, match)."""
+    """An array of (kind number, number in its kind, characters and block bounds before it, match)."""
 
     def of(number: int, kind: str) -> Column:
         found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-        before = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.length(x))
+        before = F.transform(F.split(text, PATTERNS[kind], -1), lambda x: F.struct(F.length(x).alias("n"), F.regexp_count(x, F.lit(BLANK_LINES)).alias("breaks")))
         zipped = F.filter(F.arrays_zip(before.alias("before"), found.alias("match")), lambda x: x["match"].isNotNull())
-        return F.transform(zipped, lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("i"), x["before"].alias("before"), x["match"].alias("match")))
+        return F.transform(zipped, lambda x, i: F.struct(F.lit(number).alias("kind"), i.alias("i"), x["before"]["n"].alias("before"), x["before"]["breaks"].alias("breaks"), x["match"].alias("match")))
 
     return F.flatten(F.array(*(of(number, kind) for number, kind in enumerate(KINDS))))
 
@@ -74,11 +79,12 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     own = W.partitionBy("doc", "key", "kind").orderBy("i")
     size = F.length("match").cast("long")
     upto = F.sum(F.col("before").cast("long") + size).over(own.rowsBetween(W.unboundedPreceding, 0))
-    at = found.withColumn("end", upto).withColumn("start", F.col("end") - size).where(_valid(F.col("kind"), F.col("match")))
+    block = F.sum("breaks").over(own.rowsBetween(W.unboundedPreceding, 0))
+    at = found.withColumn("block", block).withColumn("end", upto).withColumn("start", F.col("end") - size).where(_valid(F.col("kind"), F.col("match")))
     kind = F.col("kind")
     classes = {"secret": kind.isin(0, 2), "weak_secret": kind == 4, "id": kind == 1, "weak_id": kind == 3}
-    before = W.partitionBy("doc", "key").orderBy("start", "kind", "end").rowsBetween(W.unboundedPreceding, -1)
-    after = W.partitionBy("doc", "key").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("doc", "key", "block").orderBy("start", "kind", "end").rowsBetween(W.unboundedPreceding, -1)
+    after = W.partitionBy("doc", "key", "block").orderBy(F.desc("start"), F.desc("kind"), F.desc("end")).rowsBetween(W.unboundedPreceding, -1)
 
     def near(test: Column) -> Column:
         place = F.when(test, F.col("start"))
@@ -157,19 +163,20 @@ def _sql() -> str:
     """DuckDB SQL with the same patterns."""
     quoted = {k: p.replace("'", "''") for k, p in PATTERNS.items()}
     each = " UNION ALL ".join(
-        f"SELECT doc_id, {n} AS kind, unnest(generate_series(1, len(m))) AS i, unnest(m) AS match, unnest(list_transform(b[1 : len(m)], lambda x: length(x))) AS before "
+        f"SELECT doc_id, {n} AS kind, unnest(generate_series(1, len(m))) AS i, unnest(m) AS match, unnest(list_transform(b[1 : len(m)], lambda x: length(x))) AS before, "
+        f"unnest(list_transform(b[1 : len(m)], lambda x: len(regexp_extract_all(x, '{BLANK_LINES}')))) AS breaks "
         f"FROM (SELECT doc_id, regexp_extract_all(text, '{quoted[k]}') AS m, regexp_split_to_array(text, '{quoted[k]}') AS b FROM d WHERE regexp_matches(text, '{quoted[k]}'))"
         for n, k in enumerate(KINDS)
     )
-    near = lambda kinds: f"""EXISTS (SELECT 1 FROM v o WHERE o.doc_id = v.doc_id AND o.kind IN {kinds} AND (o.kind, o.start) <> (v.kind, v.start) AND abs(o.start - v.start) <= {SCOPE})"""
+    near = lambda kinds: f"""EXISTS (SELECT 1 FROM v o WHERE o.doc_id = v.doc_id AND o.block = v.block AND o.kind IN {kinds} AND (o.kind, o.start) <> (v.kind, v.start) AND abs(o.start - v.start) <= {SCOPE})"""
     name = "CASE kind " + " ".join(f"WHEN {n} THEN '{k}'" for n, k in enumerate(KINDS)) + " END"
     joined = f"string_agg({name} || ':' || start || ':' || fin, ',' ORDER BY start, kind)"
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 m AS ({each}),
-p AS (SELECT *, sum(before + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS fin FROM m),
+p AS (SELECT *, sum(before + length(match)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS fin, sum(breaks) OVER (PARTITION BY doc_id, kind ORDER BY i) AS block FROM m),
 v AS MATERIALIZED (
-  SELECT doc_id, kind, CAST(fin - length(match) AS BIGINT) AS start, CAST(fin AS BIGINT) AS fin FROM p
+  SELECT doc_id, kind, block, CAST(fin - length(match) AS BIGINT) AS start, CAST(fin AS BIGINT) AS fin FROM p
   WHERE CASE kind WHEN 0 THEN length(regexp_extract(match, '{quoted["assign"]}', 2)) >= 6 WHEN 1 THEN length(match) >= 20
         WHEN 4 THEN regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[a-z]') AND regexp_matches(match, '[0-9]') ELSE true END
 ),

@@ -7,7 +7,7 @@ import pytest
 
 from filigree.llm import quality_classifier as QC
 from filigree.llm import toxicity as TX
-from filigree.llm.url_filter import HOST_RULES, RuleIndex, UrlRule, filter_urls, split_url
+from filigree.llm.url_filter import HOST_RULES, RuleIndex, UrlRule, filter_urls, parse_rules, split_url
 
 
 def distance(a, b):
@@ -110,5 +110,24 @@ def test_urls(spark):
 
 def test_index_uses_the_rarest_token():
     rules = (UrlRule("a", "common.*rare", "block", ("common", "rare")), UrlRule("any", "zzz", "block"))
-    index = RuleIndex(rules, {"common": 9, "rare": 1}, "allow")
+    index = RuleIndex(rules, {"common": 9, "rare": 1})
     assert index.by_token == {"rare": [0]} and index.candidates("http://common/") == [1] and index.candidates("http://common/rare") == [0, 1]
+    assert index.decide("http://common/rare", "common/rare", None, None, None) == (None, None, "block") and not index.__getstate__()["_compiled"]
+
+
+def test_many_rules_in_shards(spark):
+    lines = ["! a list", "", *(f"||host{i}.com/a/" for i in range(20_000)), "@@||host5.com/a/b", "||x.host5.com/a/b", "some phrase", "@@Other Words", "---"]
+    rules = list(parse_rules(lines))
+    assert len(rules) == 20_004
+    urls = ["http://host7.com/a/1", "http://www.host7.com/b", "http://host5.com/a/bc", "http://x.host5.com/a/b", "http://y/some-phrase", "http://y/other_words/some-phrase", "http://y/" + "long/" * 50_000 + "some-phrase", None]
+    pages = spark.createDataFrame([(k, u, "x", "y", "z") for k, u in enumerate(urls)], "page_id long, url string, rule string, host string, pattern string")
+    want = {0: ("host7.com/a/", "block"), 1: (None, "allow"), 2: ("host5.com/a/b", "allow"), 3: ("x.host5.com/a/b", "block"), 4: (None, "block"), 5: (None, "block"), 6: (None, "block"), 7: (None, "allow")}
+    for shard in (100_000, 7_000):
+        assert {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages, rules, shard=shard).collect()} == want
+
+
+def test_the_first_of_equally_long_rules_decides(spark):
+    pages = spark.createDataFrame([(1, "http://a.bc/d/")], "page_id long, url string")
+    rules = [UrlRule("a.bc/d", r"^a\.bc/d", "allow", (), True), UrlRule("bc/d/ ", r"bc/d/", "block", (), True)]
+    assert filter_urls(pages, rules).first().verdict == "allow" and filter_urls(pages, rules[::-1]).first().verdict == "block"
+    assert filter_urls(pages, []).first().verdict == "allow"

@@ -114,6 +114,8 @@ SECRETS = [
     "login=alice " + "far " * 200 + "password=secret99",
     "https://nothing.here and Ab1" + "y" * 40,
     "password=one111 password=two222",
+    "login=alice\n \t\npassword=secret99",
+    "login=alice\npassword=secret99\n\n\nuser: bob99",
 ]
 
 
@@ -136,6 +138,7 @@ def test_secret_scan(spark, edges):
         assert r.n_assign + r.n_access + r.n_hex == len([x for x in brute_base(text).split(",") if x])
     kinds = {r.doc_id: [s.split(":")[0] for s in r.spans.split(",") if s] for r in got}
     assert kinds[3] == ["login", "endpoint", "opaque"] and kinds[4] == ["assign"] and kinds[5] == []
+    assert kinds[7] == ["assign"] and kinds[8] == ["login", "assign"]  # blank lines bound a scope
     clean = {r.doc_id: r.text for r in redact(docs).collect()}
     assert clean[6] == "[SECRET] [SECRET]" and clean[50] is None and "hunter22" not in clean[0] and clean[5] == SECRETS[5]
     assert redact(edges).columns == edges.columns and scan(edges).count() == edges.count() and scan(edges.where("false")).count() == 0
