@@ -93,7 +93,9 @@ def facet_coverage(asked: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def retrieval_confidence(asked: DataFrame, evidence: DataFrame, filtered: Column, meets: Column) -> DataFrame:
-    """(query_id, score, band, and the four parts) of each question with evidence.
+    """(query_id, score, band, the unrounded total and the four parts) of each question.
+
+    A question without evidence has a score of 0.
 
     filtered: whether the question has a hard filter; meets: whether an evidence row meets it.
     asked: companies, years, facets, section_intent, evidence_limit, top_similarity; evidence
@@ -110,7 +112,9 @@ def retrieval_confidence(asked: DataFrame, evidence: DataFrame, filtered: Column
         F.array_distinct(F.flatten(F.collect_list("facets_met"))).alias("met"),
         F.array_distinct(F.flatten(F.collect_list("sections_met"))).alias("sections"),
     )
-    df = asked.join(per, "query_id")
+    df = asked.join(per, "query_id", "left")
+    none = F.array().cast("array<string>")
+    df = df.withColumns({c: F.coalesce(c, none) for c in ("tickers", "met", "sections")})
     share = lambda want, got: F.size(F.array_intersect(want, got)) / F.greatest(F.size(want), F.lit(1))
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     facet = F.when(F.size("facets") > 0, share("facets", "met"))
@@ -123,8 +127,10 @@ def retrieval_confidence(asked: DataFrame, evidence: DataFrame, filtered: Column
         .otherwise(F.least(F.lit(1.0), F.col("n") / F.greatest("evidence_limit", F.lit(1))))
     )
     df = df.withColumns({"reranker_score": F.when(F.col("most") == 0, 0.0).otherwise(unit(F.col("mean") / F.col("most"))), "coverage": coverage, "similarity": unit(F.col("top_similarity"))})
-    total = 0.25 * (F.col("metadata_match") + F.col("reranker_score") + F.col("coverage") + F.col("similarity"))
-    return df.select("query_id", F.round(total, 3).alias("score"), band(total).alias("band"), *(F.round(c, 3).alias(c) for c in ("metadata_match", "reranker_score", "coverage", "similarity")))
+    parts = ("metadata_match", "reranker_score", "coverage", "similarity")
+    df = df.withColumns({c: F.when(F.col("n").isNull(), 0.0).otherwise(F.col(c)) for c in parts})
+    total = F.round(0.25 * sum((F.col(c) for c in parts[1:]), F.col(parts[0])), 9)
+    return df.select("query_id", F.round(total, 3).alias("score"), band(total).alias("band"), total.alias("total"), *(F.round(c, 3).alias(c) for c in ("metadata_match", "reranker_score", "coverage", "similarity")))
 
 
 # --- citations -----------------------------------------------------------------------------

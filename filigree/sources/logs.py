@@ -16,8 +16,8 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON-lines file or folder; blank lines are none."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """Rows of a JSON-lines file or folder; blank lines are none, a malformed line stops the job."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
 def golden_cases(spark: SparkSession, path: str) -> DataFrame:
