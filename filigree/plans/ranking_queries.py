@@ -10,7 +10,7 @@ from filigree.operators import answers as A
 from filigree.operators import metrics as M
 from filigree.operators import search as R
 from filigree.operators import selection as S
-from filigree.session import table
+from filigree.session import shared_table, table
 
 K = 10
 QUERIES: dict = {}
@@ -130,9 +130,7 @@ def cosine_filtered_topk(spark, d):
 @query(_near(part="query_id, label", limit=2, more="label,"))
 def cosine_topk_per_group(spark, d):
     vectors, asked = _vectors(spark, d)
-    pairs = vectors.crossJoin(R.sized(asked.withColumnRenamed("embedding", "q"), 1000))
-    scored = pairs.select("query_id", "chunk_id", "label", F.round(R.cosine(F.col("embedding"), F.col("q")), 9).alias("score"))
-    return _hits(R.top_k(scored, 2, ["chunk_id"], ("query_id", "label")), "label")
+    return _hits(R.vector_search(vectors, asked, 2, group="label"), "label")
 
 
 def _two_lists(spark, d):
@@ -169,45 +167,80 @@ def dedup_exact_hash(spark, d):
     return docs_of(spark, d).groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
 
 
-def _by_size(spark, d):
-    """For each source its 30 longest texts, as ranked lists."""
+def _by_size(spark, d, most: int | None = 30):
+    """For each source its texts, the longest first, as ranked lists: all, or pools of `most` rows."""
     order = W.partitionBy("source").orderBy(F.desc("n_chars"), "chunk_id")
-    ranked = docs_of(spark, d).withColumn("rank", F.row_number().over(order)).where("rank <= 30")
+    ranked = docs_of(spark, d).withColumn("rank", F.row_number().over(order))
+    ranked = ranked if most is None else ranked.where(F.col("rank") <= most)
     return ranked.select(F.col("source").alias("query_id"), "rank", F.lit("").alias("ticker"), F.col("lang").alias("company"), F.col("lang").alias("section"), F.col("source").alias("doc_id"), "chunk_id", "text", F.sha2("text", 256).alias("content_hash"))
 
 
+ALL = """sized AS (SELECT source, lang, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents)"""
 SIZED = """sized AS (SELECT source, lang, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 30)"""
 
 
-@query(f"""WITH {SIZED}, h AS (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY rank) AS n FROM sized QUALIFY n = 1),
+@query(f"""WITH {ALL}, h AS (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY rank) AS n FROM sized QUALIFY n = 1),
 c AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY rank) AS m FROM h QUALIFY m <= 3)
 SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY rank) AS rank FROM c""")
 def dedup_section_cap(spark, d):
-    return S.deduplicate_by_windows(_by_size(spark, d)).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+    return S.deduplicate_by_windows(_by_size(spark, d, None)).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
 
 
-@query()
+def _steps(rounds: int) -> str:
+    """The rows of `sized`, and an empty list for the places behind a source's last row."""
+    return f"steps AS (SELECT source, t, (t - 1) % 30 + 1 AS rank FROM (SELECT DISTINCT source FROM sized), (SELECT unnest(generate_series(1, {rounds * 30})) AS t))"
+
+
+def _taken(chosen: str, place: str = "rank") -> str:
+    return f"SELECT source AS query_id, unnest(taken) AS doc_id, generate_subscripts(taken, 1) AS {place} FROM {chosen}"
+
+
+@query(f"""WITH RECURSIVE {SIZED}, st AS (
+  SELECT DISTINCT source, 0 AS rank, []::BIGINT[] AS taken, []::VARCHAR[] AS texts, []::VARCHAR[] AS langs FROM sized
+  UNION ALL
+  SELECT st.source, st.rank + 1, CASE WHEN ok THEN list_append(taken, doc_id) ELSE taken END, CASE WHEN ok THEN list_append(texts, hash) ELSE texts END, CASE WHEN ok THEN list_append(langs, lang) ELSE langs END
+  FROM st JOIN (SELECT source, rank AS r, doc_id, lang, sha256(text) AS hash FROM sized) s ON s.source = st.source AND s.r = st.rank + 1,
+  LATERAL (SELECT NOT list_contains(texts, hash) AND len(list_filter(langs, lambda x: x = lang)) < 3 AS ok)
+), last AS (SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY source ORDER BY rank DESC) = 1) {_taken('last')}""")
 def dedup_fold(spark, d):
     return S.deduplicate(_by_size(spark, d)).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
 
 
-@query()
+def _diverse(limit: str, section_cap: int, company_cap: int) -> str:
+    """Three passes over each source's rows as a recursion; company and section are the language."""
+    return f"""{SIZED}, {_steps(3)}, st AS (
+  SELECT DISTINCT source, 0 AS t, []::BIGINT[] AS taken, []::VARCHAR[] AS langs FROM sized
+  UNION ALL
+  SELECT st.source, st.t + 1, CASE WHEN ok THEN list_append(taken, doc_id) ELSE taken END, CASE WHEN ok THEN list_append(langs, lang) ELSE langs END
+  FROM st JOIN (SELECT steps.source, steps.t AS step, doc_id, lang FROM steps LEFT JOIN sized ON sized.source = steps.source AND sized.rank = steps.rank) s ON s.source = st.source AND s.step = st.t + 1,
+  LATERAL (SELECT doc_id IS NOT NULL AND len(taken) < {limit} AND NOT list_contains(taken, doc_id) AND (st.t >= 60 OR CASE WHEN st.t < 30 THEN NOT list_contains(langs, lang) ELSE len(list_filter(langs, lambda x: x = lang)) < {min(section_cap, company_cap)} END) AS ok)
+), last AS (SELECT * FROM st WHERE t = 90)"""
+
+
+@query(f"WITH RECURSIVE {_diverse('12', 4, 6)} {_taken('last')}")
 def diversify_full(spark, d):
     return S.diversify(_by_size(spark, d).withColumn("evidence_limit", F.lit(12))).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
 
 
-@query(f"""WITH {SIZED} SELECT source AS query_id, doc_id, rank FROM sized QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY rank) = 1""")
+@query(f"""WITH {ALL} SELECT source AS query_id, doc_id, rank FROM sized QUALIFY row_number() OVER (PARTITION BY source, lang ORDER BY rank) = 1""")
 def diversify_pass1(spark, d):
-    return S.unique_pairs(_by_size(spark, d)).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
+    return S.unique_pairs(_by_size(spark, d, None)).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_diverse('30', 2, 4)}, n AS (SELECT source, doc_id AS id, place, length(text) // 4 + 30 AS cost FROM ({_taken('last', 'place')}) o JOIN (SELECT source, doc_id AS d, text FROM sized) s ON s.source = o.query_id AND s.d = o.doc_id),
+b AS (
+  SELECT DISTINCT source, 0 AS k, 300 + length('what is it about') // 4 + 80 AS used, []::BIGINT[] AS taken FROM sized
+  UNION ALL
+  SELECT b.source, b.k + 1, CASE WHEN len(taken) = 0 OR used + cost <= 7000 THEN used + cost ELSE used END, CASE WHEN len(taken) = 0 OR used + cost <= 7000 THEN list_append(taken, id) ELSE taken END
+  FROM b JOIN n ON n.source = b.source AND n.place = b.k + 1
+), done AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY source ORDER BY k DESC) = 1) {_taken('done', 'place')}""")
 def fit_to_budget(spark, d):
     rows = _by_size(spark, d).withColumn("evidence_no", F.col("rank")).withColumn("question", F.lit("what is it about"))
     return S.fit_to_budget(rows, 300).select("query_id", F.col("chunk_id").alias("doc_id"), "place")
 
 
-@query()
+@query(f"""WITH {SIZED}, n AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY rank) AS m FROM sized)
+SELECT source AS query_id, doc_id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN lang = 'es' AND m <= 2 THEN 0 WHEN lang = 'fr' AND m = 1 THEN 1 WHEN lang = 'de' AND m = 1 THEN 2 ELSE 3 END, rank) AS rank FROM n""")
 def coverage_first(spark, d):
     rows = _by_size(spark, d).withColumn("facets", F.array(F.lit("risk"))).withColumn("boosts", F.array(F.lit("fr"), F.lit("de")))
     rows = rows.withColumn("facets_met", F.when(F.col("section") == "es", F.array(F.lit("risk"))).otherwise(F.array().cast("array<string>"))).withColumn("sections_met", F.array("section"))
@@ -223,11 +256,11 @@ def boost_resort(spark, d):
     return _shown(R.top_k(out, 30, ["before"]))
 
 
-EVIDENCE = f"""{SIZED}, e AS (SELECT source AS query_id, doc_id, rank, 'E' || rank AS evidence_id, '[' || lang || ' FY2024 · ' || lang || ']' AS tag, text FROM sized WHERE rank <= 5)"""
+EVIDENCE = f"""{ALL}, e AS (SELECT source AS query_id, doc_id, rank, 'E' || rank AS evidence_id, '[' || lang || ' FY2024 · ' || lang || ']' AS tag, text FROM sized)"""
 
 
 def _evidence(spark, d):
-    rows = _by_size(spark, d).where("rank <= 5").withColumns({"form": F.lit(""), "year": F.lit(2024), "fiscal_period": F.lit("")})
+    rows = _by_size(spark, d, None).withColumns({"form": F.lit(""), "year": F.lit(2024), "fiscal_period": F.lit("")})
     return A.build_evidence(rows)
 
 
@@ -257,6 +290,7 @@ def _judged(spark, d):
     a, b = _two_lists(spark, d)
     both = a.withColumn("mode", F.lit("all")).unionByName(b.withColumn("mode", F.lit("en")))
     good = table(spark, d, "labels").select(F.col("doc_id").alias("chunk_id"), F.col("quality").alias("rel"))
+    both = shared_table(both, "lists")
     return both.join(good, "chunk_id", "left").select(F.col("query_id").alias("case_id"), "mode", "rank", "chunk_id", F.coalesce("rel", F.lit(0)).alias("rel"))
 
 

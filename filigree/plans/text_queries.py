@@ -15,7 +15,7 @@ from filigree.functions import text as T
 from filigree.operators import answers as A
 from filigree.operators import metrics as M
 from filigree.operators.chunking import chunks
-from filigree.operators.resolution import metadata_quality, resolve
+from filigree.operators.resolution import metadata_quality
 from filigree.operators.search import cache_misses
 from filigree.operators.sections import from_lowest, item_rank, rising, with_bodies, without_repeats
 from filigree.session import table
@@ -275,12 +275,6 @@ def chunk_udtf(spark, d):
     return chunks(docs, spans, 1000, 100).select("id", "doc_id", "chunk_index", F.length("text").alias("chars"), "content_hash")
 
 
-@query()
-def resolve_section(spark, d):
-    docs = _docs(spark, d).select("doc_id", "text", F.col("source").alias("section"))
-    return resolve(docs).select("doc_id", "section", "section_source", "section_confidence", "section_signals")
-
-
 @query("SELECT doc_id, round(0.7 * (n_chars % 10) / 10.0 + 0.3 * ((CASE WHEN lang = 'en' THEN 0 ELSE 1 END) + 1 + 1) / 9, 3) AS quality FROM documents")
 def metadata_quality_score(spark, d):
     docs = _docs(spark, d).select("doc_id", (F.col("n_chars") % 10 / 10.0).alias("section_confidence"), F.when(F.col("lang") == "en", "").otherwise(F.col("lang")).alias("form"), F.lit("s").alias("section"))
