@@ -1,101 +1,97 @@
 """What a chunk serves: facets and sections that are asked for and that it meets.
 
-The rules chain dictionaries for every (facet, section) pair asked for; as one expression
-they grow to thousands of nodes. They run as Arrow-batched functions over pools that have
-been cut by rank already, on metadata columns only.
+Tables of fixed values are map literals, so all of it is expressions over the chunk's
+columns (section, section_signals, flags) and the arrays of what is asked for.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from filigree import fixed
+from filigree.functions.questions import listed_under
+from filigree.functions.text import let, strip
 
 FLAGS = ("has_risk_heading", "has_mda_heading", "has_legal_heading", "has_business_heading", "has_financial_table", "has_revenue_table")
 
 
-@lru_cache(maxsize=4096)
-def serving(target: str, facets: frozenset[str]) -> tuple[frozenset[str], frozenset[str]]:
-    """The sections (lower case) and the facets that stand in for a section."""
-    widened = [set(own) for f, own in fixed.FACET_SECTIONS.items() if f in facets and target in own]
-    sections = set(fixed.EQUIVALENTS.get(target, (target,))).union(*widened)
-    bearing = {f for f, own in fixed.FACET_SECTIONS.items() if sections & set(own)}
-    return frozenset(s.lower() for s in sections), frozenset(bearing | facets)
+def _section() -> Column:
+    return F.lower(F.coalesce("section", F.lit("")))
 
 
-@lru_cache(maxsize=256)
-def _words(target: str) -> tuple[str, ...]:
-    return tuple(target.lower().replace(fixed.MDA.lower(), "mda").replace("&", " ").split())
+def _signals() -> Column:
+    return F.lower(F.coalesce("section_signals", F.lit("")))
 
 
-def _near(section: str, others) -> bool:
-    """Equal to one of the others, or one within the other; an empty section is within all."""
-    return any(section in o or o in section for o in others)
+def _flags() -> Column:
+    return F.array_compact(F.array(*(F.when(F.col(n), F.lit(n)) for n in FLAGS)))
 
 
-def _told(signals: str, flags: frozenset[str], facets) -> bool:
-    return any(f in signals or not flags.isdisjoint(fixed.FACET_FLAGS.get(f, ())) for f in facets)
+def near_any(section: Column, others: Column) -> Column:
+    """Equal to one of the others, or one within the other, in lower case; an empty section is within all."""
+    return F.exists(F.transform(others, F.lower), lambda o: o.contains(section) | section.contains(o))
 
 
-def meets_facet(section: str, signals: str, flags: frozenset[str], facet: str) -> bool:
-    own = [s.lower() for s in fixed.FACET_SECTIONS.get(facet, ())]
-    return _near(section.lower(), own) or _told(signals.lower(), flags, (facet,))
+def _told(facet: Column) -> Column:
+    """Whether the signals name a facet or a flag stands for it."""
+    return _signals().contains(facet) | F.arrays_overlap(_flags(), listed_under(fixed.FACET_FLAGS, facet))
 
 
-def meets_section(section: str, signals: str, flags: frozenset[str], target: str, facets: frozenset[str]) -> bool:
-    sections, bearing = serving(target, facets)
-    return _near(section.lower(), sections) or _told(signals.lower(), flags, bearing)
+def meets_facet(facet: Column) -> Column:
+    return near_any(_section(), listed_under(fixed.FACET_SECTIONS, facet)) | _told(facet)
 
 
-def meets_loosely(section: str, signals: str, flags: frozenset[str], target: str, facets: frozenset[str]) -> bool:
-    """meets_section, or a flag of the section, or a word of its name in the signals."""
-    own = flags & set(fixed.SECTION_FLAGS.get(target, ()))
-    return meets_section(section, signals, flags, target, facets) or _near(section.lower(), (target.lower(),)) or bool(own) or any(w in signals.lower() for w in _words(target))
+def serving(target: Column, facets: Column) -> Column:
+    """The sections that stand in for one, widened by the facets that are asked for and hold it."""
+    own = F.transform(facets, lambda f: listed_under(fixed.FACET_SECTIONS, f))
+    base = listed_under(fixed.EQUIVALENTS, target)
+    return F.concat(F.when(F.size(base) == 0, F.array(target)).otherwise(base), F.flatten(F.filter(own, lambda s: F.array_contains(s, target))))
+
 
+def meets_section(target: Column, facets: Column) -> Column:
+    """The chunk's section serves, or a facet that bears on the serving sections, or is asked for, is told."""
 
-def _rows(section: pd.Series, signals: pd.Series, *flags: pd.Series):
-    for s, t, *on in zip(section, signals, *flags):
-        yield s or "", t or "", frozenset(name for name, v in zip(FLAGS, on) if v)
+    def of(sections: Column) -> Column:
+        every = F.array(*map(F.lit, fixed.FACET_SECTIONS))
+        bearing = F.concat(F.filter(every, lambda f: F.arrays_overlap(listed_under(fixed.FACET_SECTIONS, f), sections)), facets)
+        return near_any(_section(), sections) | F.exists(bearing, _told)
 
+    return let(serving(target, facets), of)
 
-def _over(test):
-    def run(section: pd.Series, signals: pd.Series, f0: pd.Series, f1: pd.Series, f2: pd.Series, f3: pd.Series, f4: pd.Series, f5: pd.Series, asked: pd.Series, facets: pd.Series) -> pd.Series:
-        rows = _rows(section, signals, f0, f1, f2, f3, f4, f5)
-        return pd.Series([[x for x in want if test(*row, x, frozenset(names))] for row, want, names in zip(rows, asked, facets)], dtype=object)
 
-    return F.pandas_udf(run, ArrayType(StringType()))
+def has_flag_of(target: Column) -> Column:
+    return F.arrays_overlap(_flags(), listed_under(fixed.SECTION_FLAGS, target))
 
 
-_FACETS = _over(lambda s, t, on, x, names: meets_facet(s, t, on, x))
-_SECTIONS = _over(meets_section)
-_LOOSE = _over(meets_loosely)
-_FLAGGED = _over(lambda s, t, on, x, names: not on.isdisjoint(fixed.SECTION_FLAGS.get(x, ())))
+def meets_loosely(target: Column, facets: Column) -> Column:
+    """meets_section, or a flag of the section, or a word of its name in the signals."""
+    name = F.replace(F.replace(F.lower(target), F.lit(fixed.MDA.lower()), F.lit("mda")), F.lit("&"), F.lit(" "))
+    words = F.filter(F.split(strip(name), r"(?U)\s+"), lambda w: w != "")
+    return meets_section(target, facets) | near_any(_section(), F.array(target)) | has_flag_of(target) | F.exists(words, lambda w: _signals().contains(w))
 
 
-def _call(f, asked: Column, facets: Column) -> Column:
-    return f(F.col("section"), F.col("section_signals"), *(F.col(n) for n in FLAGS), asked, facets)
+def _those(asked: Column, test: Callable[[Column], Column]) -> Column:
+    return F.filter(F.coalesce(asked, F.array().cast("array<string>")), test)
 
 
 def facets_met(facets: Column) -> Column:
     """The facets asked for that the chunk's columns meet, in the order asked."""
-    return _call(_FACETS, facets, facets)
+    return _those(facets, meets_facet)
 
 
 def sections_met(targets: Column, facets: Column, loose: bool = False) -> Column:
-    return _call(_LOOSE if loose else _SECTIONS, targets, facets)
+    return _those(targets, lambda t: (meets_loosely if loose else meets_section)(t, facets))
 
 
 def bonus(boosts: Column, facets: Column) -> Column:
     """What a chunk's score gains for the facets and sections that are asked for."""
     best = F.greatest(
-        F.when(F.size(facets_met(facets)) > 0, fixed.BONUS_FACET).otherwise(0.0),
-        F.when(F.size(sections_met(boosts, facets)) > 0, fixed.BONUS_SECTION).otherwise(0.0),
-        F.when(F.size(_call(_FLAGGED, boosts, facets)) > 0, fixed.BONUS_FLAG).otherwise(0.0),
+        F.when(F.exists(facets, meets_facet), fixed.BONUS_FACET).otherwise(0.0),
+        F.when(F.exists(boosts, lambda t: meets_section(t, facets)), fixed.BONUS_SECTION).otherwise(0.0),
+        F.when(F.exists(boosts, has_flag_of), fixed.BONUS_FLAG).otherwise(0.0),
     )
     quality = F.least(F.lit(0.02), F.greatest(F.lit(0.0), F.coalesce("metadata_quality", F.lit(0.0)) - 0.75) * 0.05)
     return F.when((F.size(boosts) == 0) & (F.size(facets) == 0), 0.0).otherwise(best + quality)

@@ -112,6 +112,11 @@ def _lookup(table: Column, key: Column, default: Column) -> Column:
     return F.coalesce(F.get(F.array(table[key]), F.lit(0)), default)
 
 
+def listed_under(rows: dict[str, tuple[str, ...]], key: Column) -> Column:
+    """The list that a table of fixed values has for a name; empty if it has none."""
+    return _lookup(_table(rows), key, F.array().cast("array<string>"))
+
+
 def sections_of_facets(names: Column) -> Column:
     empty = F.array().cast("array<string>")
     return unique(F.flatten(F.transform(names, lambda f: _lookup(_table(fixed.FACET_SECTIONS), f, empty))))

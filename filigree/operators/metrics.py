@@ -187,8 +187,53 @@ def integrity(cleaned: DataFrame, metadata: DataFrame, sections: DataFrame, chun
     return out
 
 
+def paragraphs(text: Column) -> Column:
+    """How many runs of lines a text has between blank lines."""
+    return F.size(F.split(text, r"\n[ \t]*\n"))
+
+
+def prose_offset(raw: Column) -> Column:
+    """Where the prose of a raw filing starts, from 0; -1 without an anchor."""
+    return F.regexp_instr(raw, F.lit(fixed.PROSE_ANCHOR)) - 1
+
+
+def line_profile(docs: DataFrame, by: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
+    """(by..., lines, longest, mean) of the characters of non-blank lines."""
+    lines = docs.select(*by, F.explode(F.split(text_col, "\n")).alias("_line")).select(*by, F.length("_line").alias("_n")).where("_n > 0")
+    return lines.groupBy(*by).agg(F.count("*").alias("lines"), F.max("_n").alias("longest"), F.avg("_n").alias("mean"))
+
+
+def corpus_profile(filings: DataFrame, labels: tuple[str, ...] = ("Company", "Ticker", "Filing Type", "Filing Date", "Report Period", "Quarter", "CIK", "URL")) -> DataFrame:
+    """(metric, value) of raw filings (doc_id, raw): sizes, prose offsets, lines, paragraphs, header coverage.
+
+    Percentiles are of the histogram that percentile_approx keeps, whose size is fixed.
+    """
+    ps = (0.5, 0.9)
+    sized = filings.select("raw", F.length("raw").alias("chars"), prose_offset(F.col("raw")).alias("offset"), paragraphs(F.col("raw")).alias("paragraphs"))
+    aggregates = [F.count("*").alias("filings"), F.min("chars").alias("chars.min"), F.max("chars").alias("chars.max"), F.avg("paragraphs").alias("paragraphs.mean"), F.count_if(F.col("offset") < 0).alias("without_anchor")]
+    for name in ("chars", "offset"):
+        value = F.when(F.col(name) >= 0, F.col(name))
+        aggregates += [F.percentile_approx(value, p, 10_000).alias(f"{name}.p{int(100 * p)}") for p in ps]
+    aggregates += [c.alias(f"header.{label}") for c, label in zip(header_coverage(F.col("raw"), labels), labels)]
+    row = sized.agg(*aggregates)
+    lines = line_profile(filings.select(F.col("raw").alias("text"))).toDF("lines", "lines.longest", "lines.mean")
+    names = [c for df in (row, lines) for c in df.columns]
+    return unpivot(row.crossJoin(lines), names)  # two single rows
+
+
+# --- reports ---------------------------------------------------------------------------------
+
+
+def json_report(title: str, tables: dict[str, DataFrame]) -> str:
+    """A report as JSON: for each small DataFrame all its rows."""
+    import json
+
+    rows = {name: [r.asDict(recursive=True) for r in df.collect()] for name, df in tables.items()}
+    return json.dumps({"title": title, "tables": rows}, default=str, ensure_ascii=False, indent=1)
+
+
 def html_report(title: str, tables: dict[str, DataFrame], most: int = 1000) -> str:
-    """A page of its own with one table for each small DataFrame; at most `most` rows of each."""
+    """A page of its own with one table for each small DataFrame; it says where it shows `most` rows only."""
     import html as h
 
     def cell(x, tag: str = "td") -> str:
@@ -196,8 +241,41 @@ def html_report(title: str, tables: dict[str, DataFrame], most: int = 1000) -> s
 
     parts = [f"<!doctype html><meta charset='utf-8'><title>{h.escape(title)}</title><h1>{h.escape(title)}</h1>"]
     for name, df in tables.items():
-        rows = df.limit(most).collect()
+        rows = df.limit(most + 1).collect()
         head = "".join(cell(c, "th") for c in df.columns)
-        body = "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in rows)
-        parts.append(f"<h2>{h.escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+        body = "".join("<tr>" + "".join(map(cell, r)) + "</tr>" for r in rows[:most])
+        more = f"<p>The first {most} rows.</p>" if len(rows) > most else ""
+        parts.append(f"<h2>{h.escape(name)}</h2>{more}<table><tr>{head}</tr>{body}</table>")
     return "".join(parts)
+
+
+def write_report(spark, path: str, title: str, tables: dict[str, DataFrame]) -> None:
+    """report.json and report.html in a folder of any file system that Spark reaches."""
+    jvm = spark._jvm
+    for name, text in (("report.json", json_report(title, tables)), ("report.html", html_report(title, tables))):
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
+def judged_mean(cases: DataFrame, judge, names: tuple[str, ...] = ("faithfulness", "answer_relevancy"), batch: int = 16) -> DataFrame:
+    """(metric, value): means of what judge([(question, answer, context)]) -> [dict] says of cases.
+
+    The judge runs on the workers, `batch` cases at a time; a value that it does not give
+    counts for nothing, and without a judge there are no rows.
+    """
+    import pandas as pd
+
+    schema = ", ".join(f"{n} double" for n in names)
+    if judge is None:
+        return cases.sparkSession.createDataFrame([], "metric string, value double")
+
+    def run(frames):
+        for frame in frames:
+            rows = list(zip(frame["question"], frame["answer"], frame["context"]))
+            told = [t for i in range(0, len(rows), batch) for t in judge(rows[i : i + batch])]
+            yield pd.DataFrame([{n: t.get(n) for n in names} for t in told], columns=list(names), dtype=float)
+
+    scores = cases.select("question", "answer", "context").mapInPandas(run, schema)
+    return unpivot(scores.agg(*(F.round(F.avg(n), 4).alias(n) for n in names)), list(names))

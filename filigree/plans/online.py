@@ -100,7 +100,7 @@ def hybrid_search(asked: DataFrame, corpus: Corpus, s: Settings = SETTINGS) -> t
 
 def boosted(ranked: DataFrame) -> DataFrame:
     """Scores grown by the section and facet bonus, ranked anew."""
-    out = ranked.withColumn("score", F.col("score") + P.bonus(F.col("boosts"), F.col("facets")))
+    out = ranked.withColumn("score", F.round(F.col("score") + P.bonus(F.col("boosts"), F.col("facets")), 9))
     return top_k(out.withColumnRenamed("rank", "_before"), 1 << 30, ["_before"]).drop("_before")
 
 

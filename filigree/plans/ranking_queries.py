@@ -247,15 +247,6 @@ def coverage_first(spark, d):
     return S.coverage_first(rows).select("query_id", F.col("chunk_id").alias("doc_id"), "rank")
 
 
-@query(f"""WITH {FUSED}, bo AS (SELECT f.query_id, f.doc_id, f.rank, round(f.score + CASE WHEN l.quality = 1 THEN 0.08 ELSE 0 END, 9) AS score FROM fused f LEFT JOIN labels l ON l.doc_id = f.doc_id WHERE f.rank <= 30)
-SELECT query_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rank FROM bo""")
-def boost_resort(spark, d):
-    fused = R.reciprocal_rank_fusion(list(_two_lists(spark, d)), 60, 30).withColumnRenamed("rank", "before")
-    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("chunk_id"), F.lit(0.08).alias("more"))
-    out = fused.join(good, "chunk_id", "left").withColumn("score", F.round(F.col("score") + F.coalesce("more", F.lit(0.0)), 9))
-    return _shown(R.top_k(out, 30, ["before"]))
-
-
 EVIDENCE = f"""{ALL}, e AS (SELECT source AS query_id, doc_id, rank, 'E' || rank AS evidence_id, '[' || lang || ' FY2024 · ' || lang || ']' AS tag, text FROM sized)"""
 
 

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from filigree import fixed
+from filigree.functions import predicates as P
 from filigree.functions import questions as Q
 from filigree.operators import answers as A
 from filigree.operators import metrics as M
 from filigree.operators import search as R
 from filigree.plans.offline import stage_report
+from filigree.plans.online import boosted
 from filigree.plans.ranking_queries import K, SCORED, _ranked, _show, _shown, docs_of, items
 from filigree.session import shared_dir, table
 from filigree.sources import corpus as C
@@ -369,3 +371,64 @@ def earlier_report(spark, d):
     assert L.previous_report(spark, path) is None
     L.append_jsonl(M.summary(table(spark, d, "labels").select(F.col("quality").cast("int"), F.col("toxic").cast("int"))), path)
     return L.previous_report(spark, path)
+
+
+# --- predicates --------------------------------------------------------------------------------
+
+_ASKED_FACETS = (("risk",), ("legal", "financial"), ("segments",), (), ("market_risk", "regulatory", "liquidity"))
+_ASKED_SECTIONS = (("Risk Factors",), (fixed.MDA, "Business"), (), ("Exhibits", "Legal Proceedings"), (fixed.MARKET_RISK,))
+_CHUNK_SECTIONS = ("Risk Factors", "business", "Financial Statements", "Other", "", "Legal Proceedings and more", "Properties")
+_CHUNK_SIGNALS = ("", "risk_content|legal_content", "revenue_table", "mda_heading", "market data")
+_HAS = ("has_risk_heading", "has_mda_heading", "has_legal_heading", "has_business_heading", "has_financial_table", "has_revenue_table")
+
+
+def _nested(values) -> str:
+    return "[" + ", ".join(listed(v) if v else "CAST([] AS VARCHAR[])" for v in values) + "]"
+
+
+def _near_sql(section: str, others: str) -> str:
+    return f"len(list_filter({others}, lambda o: contains(lower(o), lower({section})) OR contains(lower({section}), lower(o)))) > 0"
+
+
+_TOLD = "(contains(lower(signals), {f}) OR list_has_any(flags, coalesce(ff[{f}], [])))"
+_MEETS_FACET = "({near} OR {told})".format(near=_near_sql("section", "fs[{f}]"), told=_TOLD)
+_SERVING = "list_concat(coalesce(eq[{t}], [{t}]), flatten(list_filter(list_transform(facets, lambda x: fs[x]), lambda s: list_contains(s, {t}))))"
+_MEETS_SECTION = "({near} OR len(list_filter(list_concat(list_filter(map_keys(fs), lambda x: list_has_any(fs[x], {serving})), facets), lambda y: {told})) > 0)".format(near=_near_sql("section", _SERVING), serving=_SERVING, told=_TOLD.format(f="y"))
+_FLAGGED = "list_has_any(flags, coalesce(sf[{t}], []))"
+_WORDS = f"string_split(trim(replace(replace(lower({{t}}), {lit(fixed.MDA.lower())}, 'mda'), '&', ' ')), ' ')"
+_LOOSE = "({0} OR {1} OR {2} OR len(list_filter({3}, lambda w: w <> '' AND contains(lower(signals), w))) > 0)".format(_MEETS_SECTION, _near_sql("section", "[{t}]"), _FLAGGED, _WORDS)
+PREDICATES = f"""m AS (SELECT {sql_map(fixed.FACET_SECTIONS)} AS fs, {sql_map(fixed.FACET_FLAGS)} AS ff, {sql_map(fixed.EQUIVALENTS)} AS eq, {sql_map(fixed.SECTION_FLAGS)} AS sf),
+r AS (SELECT p_partkey AS k, {listed(_CHUNK_SECTIONS)}[p_partkey % 7 + 1] AS section, {listed(_CHUNK_SIGNALS)}[p_size % 5 + 1] AS signals, CASE WHEN p_partkey % 4 = 0 THEN [{listed(_HAS)}[p_partkey // 4 % 6 + 1]] ELSE CAST([] AS VARCHAR[]) END AS flags,
+  {_nested(_ASKED_FACETS)}[p_partkey // 7 % 5 + 1] AS facets, {_nested(_ASKED_SECTIONS)}[p_partkey // 35 % 5 + 1] AS boosts, p_size % 11 / 10.0 AS quality FROM part),
+met AS (SELECT k, facets, boosts, quality, list_filter(facets, lambda f: {_MEETS_FACET.format(f='f')}) AS facets_met, list_filter(boosts, lambda t: {_MEETS_SECTION.format(t='t')}) AS sections_met,
+  list_filter(boosts, lambda t: {_LOOSE.format(t='t')}) AS loosely_met, list_filter(boosts, lambda t: {_FLAGGED.format(t='t')}) AS flagged FROM r, m),
+bo AS (SELECT *, CASE WHEN len(facets) = 0 AND len(boosts) = 0 THEN 0.0 ELSE greatest(CASE WHEN len(facets_met) > 0 THEN 0.07 ELSE 0 END, CASE WHEN len(sections_met) > 0 THEN 0.08 ELSE 0 END, CASE WHEN len(flagged) > 0 THEN 0.06 ELSE 0 END) + least(0.02, greatest(0.0, quality - 0.75) * 0.05) END AS bonus FROM met)"""
+
+
+def _pool(spark, d):
+    pick = lambda values, c: F.element_at(F.array(*(F.lit(v) if isinstance(v, str) else F.array(*map(F.lit, v)).cast("array<string>") for v in values)), (c % len(values) + 1).cast("int"))
+    k = F.col("p_partkey")
+    flag = F.when(k % 4 == 0, pick(_HAS, F.floor(k / 4))).otherwise("")
+    return table(spark, d, "part").select(
+        k.alias("k"),
+        pick(_CHUNK_SECTIONS, k).alias("section"),
+        pick(_CHUNK_SIGNALS, F.col("p_size")).alias("section_signals"),
+        *((flag == name).alias(name) for name in _HAS),
+        pick(_ASKED_FACETS, F.floor(k / 7)).alias("facets"),
+        pick(_ASKED_SECTIONS, F.floor(k / 35)).alias("boosts"),
+        (F.col("p_size") % 11 / 10.0).alias("metadata_quality"),
+    )
+
+
+@query(f"WITH {PREDICATES} SELECT k, array_to_string(facets_met, '|') AS facets_met, array_to_string(sections_met, '|') AS sections_met, array_to_string(loosely_met, '|') AS loosely_met, CAST(round(bonus, 6) AS DOUBLE) AS bonus FROM bo")
+def chunk_predicates(spark, d):
+    facets, boosts = F.col("facets"), F.col("boosts")
+    met = {"facets_met": P.facets_met(facets), "sections_met": P.sections_met(boosts, facets), "loosely_met": P.sections_met(boosts, facets, loose=True)}
+    return _pool(spark, d).select("k", *(F.array_join(c, "|").alias(name) for name, c in met.items()), F.round(P.bonus(boosts, facets), 6).alias("bonus"))
+
+
+@query(f"""WITH {PREDICATES}, b AS (SELECT k % 20 AS query_id, k, round(bonus + 1.0 / (60 + k), 9) AS score, k AS before FROM bo)
+SELECT query_id, k, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, before) AS rank FROM b""")
+def boosted_ranks(spark, d):
+    rows = _pool(spark, d).withColumns({"query_id": F.col("k") % 20, "rank": F.col("k"), "score": 1.0 / (60 + F.col("k"))})
+    return boosted(rows).select("query_id", "k", F.round("score", 6).alias("score"), "rank")

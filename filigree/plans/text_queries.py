@@ -5,7 +5,6 @@ RE2 knows ASCII boundaries only, so SQL sees every other character as a letter.
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from filigree import fixed
@@ -16,7 +15,7 @@ from filigree.operators import answers as A
 from filigree.operators import metrics as M
 from filigree.operators.chunking import chunks
 from filigree.operators.resolution import metadata_quality
-from filigree.operators.search import cache_misses
+from filigree.operators.search import cache_misses, top_k
 from filigree.operators.sections import from_lowest, item_rank, rising, with_bodies, without_repeats
 from filigree.session import table
 from filigree.sources.corpus import changed
@@ -64,13 +63,13 @@ def percentiles_lengths(spark, d):
 
 @query("SELECT doc_id, len(regexp_split_to_array(text, '\\n[ \\t]*\\n')) AS paragraphs, len(string_split(text, chr(10))) AS lines FROM documents")
 def blank_paragraphs(spark, d):
-    return _docs(spark, d).select("doc_id", F.size(F.split("text", r"\n[ \t]*\n")).alias("paragraphs"), F.size(F.split("text", "\n")).alias("lines"))
+    return _docs(spark, d).select("doc_id", M.paragraphs(F.col("text")).alias("paragraphs"), F.size(F.split("text", "\n")).alias("lines"))
 
 
 @query("WITH l AS (SELECT lang, length(unnest(string_split(text, chr(10)))) AS n FROM documents) SELECT lang, count(*) AS lines, max(n) AS longest, round(avg(n), 6) AS mean FROM l WHERE n > 0 GROUP BY lang")
 def line_length_profile(spark, d):
-    lines = _docs(spark, d).select("lang", F.explode(F.split("text", "\n")).alias("line")).select("lang", F.length("line").alias("n")).where("n > 0")
-    return lines.groupBy("lang").agg(F.count("*").alias("lines"), F.max("n").alias("longest"), F.round(F.avg("n"), 6).alias("mean"))
+    out = M.line_profile(_docs(spark, d), ("lang",))
+    return out.withColumn("mean", F.round("mean", 6))
 
 
 LINE = "regexp_replace(replace(line, chr(9), ' '), '\\s+$', '')"
@@ -141,11 +140,6 @@ def range_lookup(spark, d):
     return items.select("item", item_rank(F.col("item")).alias("rank"), part_of(F.col("item")).alias("part"))
 
 
-@query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
-def anti_join_missing(spark, d):
-    return _docs(spark, d).select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
-
-
 @query("""WITH c AS (SELECT sha256('m' || chr(10) || text) AS key FROM documents WHERE doc_id % 2 = 0)
 SELECT DISTINCT sha256('m' || chr(10) || text) AS key FROM documents WHERE sha256('m' || chr(10) || text) NOT IN (SELECT key FROM c)""")
 def cache_miss(spark, d):
@@ -172,15 +166,6 @@ def hard_filter_where(spark, d):
     return orders.where(test).select("o_orderkey", "o_orderstatus", "year")
 
 
-@query("SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE regexp_matches(lower(n_name), '(^|[^a-z0-9_])(nation_1|nation_7|nation_20)([^a-z0-9_]|$)') GROUP BY n_name")
-def alias_theta_join(spark, d):
-    names = spark.createDataFrame([("nation_1",), ("nation_7",), ("nation_20",)], "alias string")
-    nations = table(spark, d, "nation")
-    test = F.expr("regexp_like(lower(n_name), concat('(^|[^a-z0-9_])', alias, '([^a-z0-9_]|$)'))")
-    found = nations.join(F.broadcast(names), test, "left_semi")
-    return table(spark, d, "customer").join(F.broadcast(found), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count("*").alias("customers"))
-
-
 def _case(table_: dict[str, str], column: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({column}, {q(p)}) THEN '{name}' END".replace("''s)", "''s)") for name, p in table_.items()) + "], lambda x: x IS NOT NULL)"
 
@@ -257,17 +242,6 @@ def event_window_counts(spark, d):
     return out.select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("""SELECT 'documents' AS name, (SELECT count(*) FROM documents) AS rows, (SELECT count(*) FROM documents ANTI JOIN labels USING (doc_id)) AS unmatched
-UNION ALL SELECT 'labels', (SELECT count(*) FROM labels), (SELECT count(*) FROM labels ANTI JOIN documents USING (doc_id))""")
-def integrity_counts(spark, d):
-    docs, labels = _docs(spark, d).select("doc_id"), table(spark, d, "labels").select("doc_id")
-
-    def row(name, a, b):
-        return a.agg(F.count("*").alias("rows")).crossJoin(a.join(b, "doc_id", "left_anti").agg(F.count("*").alias("unmatched"))).select(F.lit(name).alias("name"), "rows", "unmatched")
-
-    return row("documents", docs, labels).unionByName(row("labels", labels, docs))
-
-
 @query()
 def chunk_udtf(spark, d):
     docs = _docs(spark, d).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
@@ -292,4 +266,4 @@ def form_normalize(spark, d):
 @query("SELECT source, doc_id, n_chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1")
 def top_per_group(spark, d):
     docs = _docs(spark, d).select("source", "doc_id", "n_chars")
-    return docs.withColumn("r", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).where("r = 1").drop("r")
+    return top_k(docs.withColumn("score", F.col("n_chars")), 1, ["doc_id"], ("source",)).drop("score", "rank")
