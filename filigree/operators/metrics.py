@@ -91,7 +91,7 @@ def summary(cases: DataFrame) -> DataFrame:
 
 
 def unpivot(row: DataFrame, names: list[str]) -> DataFrame:
-    return row.select(*(F.col(f"`{n}`").cast("double").alias(n) for n in names)).unpivot([], names, "metric", "value").where("value is not null")
+    return row.select(*(F.col(f"`{n}`").cast("double").alias(n) for n in names)).unpivot([], [f"`{n}`" for n in names], "metric", "value").where("value is not null")
 
 
 def flatten_modes(means: DataFrame) -> DataFrame:

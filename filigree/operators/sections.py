@@ -123,3 +123,10 @@ def sections(docs: DataFrame) -> DataFrame:
     both = spans.unionByName(other)
     order = W.partitionBy("doc_id").orderBy("start")
     return both.select("doc_id", (F.row_number().over(order) - 1).alias("section_index"), "section_name", "item", "part", "start", F.coalesce(F.lead("start").over(order), F.col("n")).alias("end"))
+
+
+def checked_spans(spans: DataFrame) -> DataFrame:
+    """spans as they are; a row that does not have 0 <= start <= end stops the job."""
+    ok = (F.col("start") >= 0) & (F.col("end") >= F.col("start"))
+    told = F.concat(F.lit("bad span in "), F.col("doc_id").cast("string"))
+    return spans.where(F.assert_true(F.coalesce(ok, F.lit(False)), told).isNull())

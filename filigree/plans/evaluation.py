@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from time import perf_counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from filigree.functions import questions as Q
 from filigree.operators import metrics as M
 from filigree.plans.online import Answers, Corpus, answer, quoting_generator, variants
 from filigree.session import shared_table
+from filigree.sources.logs import previous_report
 
 
 def evaluate(cases: DataFrame, corpus: Corpus, k: int = 8, generator=quoting_generator, scorer=None, s: Settings = SETTINGS) -> tuple[DataFrame, DataFrame, Answers]:
@@ -37,4 +40,48 @@ def evaluate(cases: DataFrame, corpus: Corpus, k: int = 8, generator=quoting_gen
     return rows, M.mode_means(scores.select("case_id", "mode", "precision", "recall", "mrr", "ndcg")), got
 
 
+def run_evaluation(cases: DataFrame, corpus: Corpus, path: str, part: int = 50, k: int = 8, generator=quoting_generator, scorer=None, s: Settings = SETTINGS, title: str = "Evaluation") -> dict[str, DataFrame]:
+    """Evaluate cases in parts of about `part`, each written when it is done, and write the report.
+
+    A run that was broken off goes on with the parts that are missing. latency_s of a case is
+    its part's time over its cases. Tables: summary (metric, value), modes, cases; the report
+    has them too, with the change against the summary that an earlier run left at `path`.
+    """
+    spark = cases.sparkSession
+    before = previous_report(spark, f"{path}/summary")
+    parts = max(1, -(-cases.count() // part))
+    numbered = cases.withColumn("_part", F.pmod(F.xxhash64("case_id"), F.lit(parts)))
+    for number in range(parts):
+        at = f"{path}/parts/{number}"
+        if _there(spark, f"{at}/modes/_SUCCESS"):
+            continue
+        own = numbered.where(F.col("_part") == number).drop("_part")
+        n = own.count()
+        if not n:
+            continue
+        began = perf_counter()
+        rows, modes, _ = evaluate(own, corpus, k, generator, scorer, s)
+        rows = shared_table(rows, "case-scores")
+        latency = (perf_counter() - began) / n
+        rows.withColumn("latency_s", F.lit(latency)).write.mode("overwrite").parquet(f"{at}/cases")
+        modes.write.mode("overwrite").parquet(f"{at}/modes")
+    done = [n for n in range(parts) if _there(spark, f"{path}/parts/{n}/modes/_SUCCESS")]
+    rows = spark.read.parquet(*(f"{path}/parts/{n}/cases" for n in done))
+    modes = spark.read.parquet(*(f"{path}/parts/{n}/modes" for n in done))
+    names = [c for c in modes.columns if c not in ("mode", "n_cases")]
+    modes = modes.groupBy("mode").agg(*(F.round(F.sum(F.col(c) * F.col("n_cases")) / F.sum("n_cases"), 4).alias(c) for c in names), F.sum("n_cases").alias("n_cases"))
+    summary = shared_table(M.summary(rows.drop("case_id")).unionByName(M.flatten_modes(modes)), "summary")
+    tables = {"summary": summary, "modes": modes, "cases": rows}
+    if before is not None:
+        tables["changes"] = shared_table(M.regressions(summary, before), "changes")
+    M.write_report(spark, path, title, tables)
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    return tables
+
+
+def _there(spark, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 Q_FLAGS = ("has_risk_heading", "has_mda_heading", "has_legal_heading", "has_business_heading", "has_financial_table", "has_revenue_table", "metadata_quality")

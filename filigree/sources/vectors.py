@@ -5,37 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from filigree.session import shared_table
+
 SCHEMA = "model string, chunk_id string, doc_id string, embedding array<float>"
 
 
 class VectorTable:
-    """Versions of a Parquet table; each upsert writes the next and then points to it."""
+    """A Parquet table in buckets by document; an upsert writes a new version of the buckets it touches.
+
+    Every bucket is read in its newest finished version. A bucket that is touched holds rows
+    of the upsert, so no version of it is empty.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        self.spark, self.path, self.buckets = spark, path, buckets
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    def _list(self, path: str) -> list[str]:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in fs.listStatus(target)] if fs.exists(target) else []
 
-    def _pointer(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def versions(self) -> dict[int, list[int]]:
+        """The buckets of each finished version."""
+        out = {}
+        for name in self._list(self.path):
+            inside = self._list(f"{self.path}/{name}") if name.startswith("v") else []
+            if "_SUCCESS" in inside:
+                out[int(name[1:])] = [int(x.removeprefix("bucket=")) for x in inside if x.startswith("bucket=")]
+        return out
 
     def version(self) -> int:
-        path, fs = self._pointer()
-        if not fs.exists(path):
-            return -1
-        names = [s.getPath().getName() for s in fs.listStatus(path)]
-        done = [int(n[1:]) for n in names if n[0] == "v" and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return max(done, default=-1)
+        return max(self.versions(), default=-1)
 
-    def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.createDataFrame([], SCHEMA) if v < 0 else self.spark.read.schema(SCHEMA).parquet(f"{self.path}/v{v}")
+    def read(self, only: set[int] | None = None) -> DataFrame:
+        newest = {b: v for v, buckets in sorted(self.versions().items()) for b in buckets if only is None or b in only}
+        paths = [f"{self.path}/v{v}/bucket={b}" for b, v in sorted(newest.items())]
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def upsert(self, rows: DataFrame) -> None:
         """Replace all vectors of the documents in rows (model, chunk_id, doc_id, embedding)."""
-        rows = rows.select("model", "chunk_id", "doc_id", "embedding")
-        kept = self.read().join(rows.select("model", "doc_id").distinct(), ["model", "doc_id"], "left_anti")
-        kept.unionByName(rows).select("model", "chunk_id", "doc_id", "embedding").write.mode("overwrite").parquet(f"{self.path}/v{self.version() + 1}")
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+        rows = shared_table(rows.select("model", "chunk_id", "doc_id", "embedding", bucket.alias("bucket")), "upsert")
+        touched = {r.bucket for r in rows.select("bucket").distinct().collect()}  # at most `buckets`
+        if not touched:
+            return
+        kept = self.read(touched).join(rows.select("model", "doc_id").distinct(), ["model", "doc_id"], "left_anti")
+        kept = kept.select("model", "chunk_id", "doc_id", "embedding", bucket.alias("bucket"))
+        kept.unionByName(rows).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/v{self.version() + 1}")
 
     def count(self) -> int:
         return self.read().count()

@@ -52,6 +52,7 @@ def test_vector_table_replaces_documents(spark, tmp_path):
     t.upsert(spark.createDataFrame([row("a1", "a", 1), row("a2", "a", 2), row("b1", "b", 3)], cols))
     t.upsert(spark.createDataFrame([row("a1", "a", 9)], cols))
     assert sorted((r.chunk_id, r.embedding[0]) for r in t.read().collect()) == [("a1", 9.0), ("b1", 3.0)]
+    assert len(t.versions()[1]) == 1  # only the bucket of the document that was written again
     chunks = spark.createDataFrame([("a1", "text"), ("b1", "more")], "chunk_id string, text string")
     assert index_join(t.read(), chunks).count() == 2
     assert {r.chunk_id: r.text for r in hydrate(t.read().select("chunk_id"), chunks.limit(0), chunks).collect()} == {"a1": "text", "b1": "more"}
@@ -71,6 +72,10 @@ def test_logs(spark, tmp_path):
         L.append_jsonl(rows, str(tmp_path / "log"))
     assert L.read_jsonl(spark, str(tmp_path / "log"), "query_id string, cost_usd double").count() == 2
     assert L.previous_report(spark, str(tmp_path / "none")) is None
+    with open(path + "/bad.jsonl", "w") as f:
+        f.write('{"id": broken\n')
+    with pytest.raises(Exception):
+        L.golden_cases(spark, path).collect()
 
 
 def test_incremental_ingest(spark, landing, tmp_path):
@@ -81,6 +86,8 @@ def test_incremental_ingest(spark, landing, tmp_path):
     shutil.copy(landing / NAME, landing / "TSLA_10K_2022Q3_2022-10-28_full.txt")
     start(landing_stream(spark, str(landing)), base, mark).awaitTermination()
     assert spark.read.parquet(base + "/catalog").count() == 2
+    dead = {r.file: r.reason for r in spark.read.parquet(base + "/dead").collect()}
+    assert dead == {"TSLA_10K_2022-10-28_full.txt": "not valid UTF-8", "notes.txt": "invalid filename", "manifest.json": "invalid filename"}
 
 
 def test_settings():
