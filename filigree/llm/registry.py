@@ -28,7 +28,6 @@ QUERIES = {
 ORACLES = {
     "op1_substring_dedup": OP1_SQL,
     "op4_secret_scan": OP4_SQL,
-    "op6_url_filter": op6_url_filter,
     "op6_url_filter": OP6_SQL,
     "op9_minhash_near_dedup": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
