@@ -134,10 +134,9 @@ def cosine_topk_per_group(spark, d):
 
 
 def _two_lists(spark, d):
-    docs = docs_of(spark, d)
-    index = R.build_bm25(docs)
+    index = R.build_bm25(docs_of(spark, d), keep=("lang",))
     asked = items(spark, d)
-    return R.bm25_search(index, asked, 20), R.bm25_search(index, asked, 20, docs.where("lang = 'en'").select("chunk_id"))
+    return R.bm25_search(index, asked, 20), R.bm25_search(index, asked, 20, F.col("lang") == "en")
 
 
 LISTS = f"""{SCORED}, a AS ({_ranked(limit=20)}), b AS ({_ranked("lang = 'en'", 20)}),
