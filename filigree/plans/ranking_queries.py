@@ -87,8 +87,8 @@ def bm25_topk(spark, d):
 
 @query(f"""WITH {SCORED} {_show(_ranked("lang = 'en'"))}""")
 def bm25_prefilter_topk(spark, d):
-    docs = docs_of(spark, d)
-    return _shown(R.bm25_search(R.build_bm25(docs), items(spark, d), K, docs.where("lang = 'en'").select("chunk_id")))
+    index = R.build_bm25(docs_of(spark, d), keep=("lang",))
+    return _shown(R.bm25_search(index, items(spark, d), K, F.col("lang") == "en"))
 
 
 @query(f"""WITH {SCORED}, wide AS (SELECT r.*, lang FROM ({_ranked(limit=4 * K)}) r JOIN len USING (doc_id)), kept AS (SELECT query_id, doc_id, score FROM wide WHERE lang = 'fr')

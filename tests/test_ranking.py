@@ -92,7 +92,7 @@ def shuffled(spark) -> int:
     return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
 
 
-@pytest.mark.parametrize("name", ["rrf_fusion", "precision_mrr_ndcg", "regression_diff", "ab_mode_means", "pooled_recall"])
+@pytest.mark.parametrize("name", ["rrf_fusion", "precision_mrr_ndcg", "regression_diff", "ab_mode_means", "pooled_recall", "bm25_prefilter_topk"])
 def test_pairs_are_not_shuffled(spark, crowd, name):
     before = shuffled(spark)
     assert ranking_queries.QUERIES[name](spark, crowd).collect()
