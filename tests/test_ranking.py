@@ -111,7 +111,7 @@ def scattered(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["ab_mode_means"])
+@pytest.mark.parametrize("name", ["ab_mode_means", "pooled_recall"])
 def test_lists_do_not_grow_with_files(spark, scattered, monkeypatch, name):
     """A task sends 20 rows a question, so 300 tasks would send all pairs."""
     monkeypatch.setattr(R, "MOST_TASKS", 4, raising=False)
